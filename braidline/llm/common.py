@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -42,3 +43,10 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
 def id_crc(column: str):
     """CRC-32 of an id written as decimal text; -1 for a null id."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(-1))
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files whose plans are no longer used: Spark deletes them
+    when the driver's garbage is collected, which may otherwise take long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

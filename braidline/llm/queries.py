@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .counting import count_tokens
 from .packing import pack_documents
+from .repeats import remove_repeats
+from .simhash import near_duplicates
 
 #: Where the public vocabulary is; a parameter of the operators.
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -22,5 +24,13 @@ def op5_token_counts_resync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), WORDS)
 
 
-QUERIES = {f.__name__: f for f in (op1_pack_swap_search, op5_token_counts_resync)}
+def op7_simhash_popcount_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_pack_swap_search, op5_token_counts_resync, op7_simhash_popcount_grid, op10_radix_repeats)}
 ORACLE_SQL: dict[str, str] = {}
