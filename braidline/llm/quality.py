@@ -25,8 +25,8 @@ def word_array(text: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, JAVA_SPACE + "+"))
 
 
-def with_words(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("w", word_array(F.col("t")))
+def with_words(docs: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
+    return docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), *more).withColumn("w", word_array(F.col("t")))
 
 
 def _behind(array: str, by: int) -> Column:
@@ -99,8 +99,8 @@ def trusted_sample(labels: DataFrame, key: str = "doc_id", most: int = 20_000) -
     return labels.filter("quality = 1").select(key).filter(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(most)
 
 
-def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS, prior: float = 2.0, least: float = 0.1, threshold: float = -0.45) -> DataFrame:
-    """Counts, score and verdict of every row of ``docs``.
+def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS, prior: float = 2.0, least: float = 0.1, threshold: float = -0.45, carry: bool = False) -> DataFrame:
+    """Counts, score and verdict of every row of ``docs``, and with ``carry`` the row.
 
     The trusted multinomial is fitted on at most 20,000 labelled rows (a parameter
     of ``trusted_sample``); the raw one on all rows.  Each bucket's trusted count and
@@ -114,8 +114,8 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     listed = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(weights, "bucket", "left")
     entry = F.struct("bucket", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     one = stage_table(listed.groupBy().agg(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["weight"]).alias("all")), "weights")
-    frame = base_counts(with_words(docs, key, text)).drop("t")
-    frame = frame.withColumn("table", one.scalar())
+    frame = with_words(docs, key, text, F.struct(*docs.columns).alias("row")) if carry else with_words(docs, key, text)
+    frame = base_counts(frame).drop("t").withColumn("table", one.scalar())
 
     def add(total: Column, word: Column) -> Column:
         for b in gram_buckets(word, buckets):
@@ -124,5 +124,15 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     total = F.aggregate("w", F.lit(0.0), add)
     frame = frame.withColumn("score", F.coalesce(total / F.nullif(3 * F.size("w"), F.lit(0)), F.lit(0.0)))
-    frame = frame.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
-    return frame.select(F.col("k").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+    return frame.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+
+
+def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Counts, score and verdict of every row; see ``judged``."""
+    out = judged(docs, labels, key, text)
+    return out.select(F.col("k").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that are kept, with all their columns."""
+    return judged(docs, labels, key, text, carry=True).filter("kept").select("row.*")

@@ -145,14 +145,14 @@ def _of_kind(kind: str):
 def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """The rows with every span masked; spans that overlap are masked together."""
     columns = docs.columns
-    found = stage_table(current_spans(update_ledger(docs, text)), "findings")
-    named = docs.withColumn("blob", F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
+    found = stage_table(current_spans(update_ledger(docs, text)), "findings").select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    named = docs.withColumn("_name", F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
 
     def step(a: Column, s: Column) -> Column:
         apart = F.when(s["start"] >= a["at"], F.concat(F.substring(F.col(text), a["at"] + 1, s["start"] - a["at"]), F.lit(mask))).otherwise(F.lit(""))
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], apart).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, F.lit(2**31 - 1) - a["at"] - 1)))
-    joined = named.join(found, "blob", "left")
-    return joined.withColumn(text, F.when(F.size("spans") > 0, clean).otherwise(F.col(text))).select(*columns)
+    clean = F.aggregate("_spans", start, step, lambda a: F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, F.char_length(text))))
+    joined = named.join(found, F.col("_name") == F.col("_blob"), "left")
+    return joined.withColumn(text, F.when(F.size("_spans") > 0, clean).otherwise(F.col(text))).select(*columns)

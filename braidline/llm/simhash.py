@@ -98,3 +98,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     of = rooted.join(linked, "root").select("fp", "component_id")
     out = own.join(of, "fp")
     return out.select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of every group of near duplicates, that of the smallest key.
+
+    Rows are told apart by a hash of all their columns, so null and repeated keys
+    are no trouble; of rows that are equal in every column one stays.
+    """
+    marked = docs.withColumn("_mark", F.xxhash64(*docs.columns))
+    group = near_duplicates(marked, "_mark", text).select("_mark", "component_id")
+    first = group.join(marked.select("_mark", key), "_mark").groupBy("component_id").agg(F.min(F.struct(F.col(key), F.col("_mark"))).alias("r"))
+    first = stage_table(first.select(F.col("r._mark").alias("_mark")), "kept")
+    return marked.join(first, "_mark", "left_semi").dropDuplicates(["_mark"]).drop("_mark")
