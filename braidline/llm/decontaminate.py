@@ -40,7 +40,7 @@ def gram_codes(points: np.ndarray, q: int) -> np.ndarray:
     while 2 * wide <= q:
         h = h[:len(h) - wide] * f + h[wide:]
         h ^= h >> np.uint64(29)
-        wide, f = 2 * wide, f * SPREAD | np.uint64(1)
+        wide, f = 2 * wide, np.uint64(int(f) * int(SPREAD) % (1 << 64) | 1)
     for i in range(wide, q):
         h = h[:n] * f + points[i:i + n]
     return (h[:n] * SPREAD) ^ (h[:n] >> np.uint64(32))

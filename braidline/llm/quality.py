@@ -134,5 +134,10 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that are kept, with all their columns."""
-    return judged(docs, labels, key, text, carry=True).filter("kept").select("row.*")
+    """The rows that are kept, with all their columns.
+
+    The row number keeps the optimizer from moving the filter below the columns it
+    is made of, where it would split the text anew for each word.
+    """
+    out = judged(docs, labels, key, text, carry=True).select("row", "kept", F.monotonically_increasing_id().alias("at"))
+    return out.filter("kept AND at >= 0").select("row.*")
