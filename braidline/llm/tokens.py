@@ -259,7 +259,12 @@ def library_offsets(path: str) -> Callable[[str], Encoded]:
 
         def piece_offsets(text: str) -> Encoded:
             out = model.encode(text, return_type="proto")
-            return [p.id for p in out.pieces], [(p.begin, p.end) for p in out.pieces]
+            ids, spans = [p.id for p in out.pieces], [(p.begin, p.end) for p in out.pieces]
+            if not text.isascii():  # the library counts bytes
+                raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+                at = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)]).tolist()
+                spans = [(at[b], at[e]) for b, e in spans]
+            return ids, spans
 
         return piece_offsets
     from tokenizers import Tokenizer
@@ -275,7 +280,7 @@ def library_offsets(path: str) -> Callable[[str], Encoded]:
     return offsets
 
 
-#: A cut is proven where white space other than a lone joiner surrounds it on one side.
+#: A cut is proven only where a word begins or ends.
 CUT_SPACE = " \n\t\r\f\v"
 
 
@@ -283,15 +288,15 @@ def stable_cut(text: str, left: list[tuple[int, int, int]], right: list[tuple[in
     """A position at which two overlapping encodings may be joined, or None.
 
     ``left`` and ``right`` hold (start, end, id) in positions of the whole text.
-    The position starts a token in both, follows white space (so that no
-    pre-tokenizer or merge reaches over it), and the ``agree`` tokens on either
-    side are the same in both.
+    The position starts a token in both, has white space on one side and none on
+    the other (no pre-tokenizer or merge reaches over it), and the ``agree`` tokens
+    on either side are the same in both.
     """
     at = {s: i for i, (s, _, _) in enumerate(right)}
     for i in range(len(left) - agree, agree - 1, -1):
         s = left[i][0]
         j = at.get(s)
-        if j is None or j < agree or s == 0 or text[s - 1] not in CUT_SPACE or text[s] in CUT_SPACE:
+        if j is None or j < agree or s == 0 or (text[s - 1] in CUT_SPACE) == (text[s] in CUT_SPACE):
             continue
         if left[i - agree:i + agree] == right[j - agree:j + agree]:
             return s
