@@ -28,8 +28,9 @@ def global_alignment(a: str, b: str, match: int = 1, mismatch: int = -3, open_:
     steps = np.arange(m + 1) * extend
     best = np.concatenate([[0], -open_ - extend * np.arange(m)])
     down = np.full(m + 1, low)
-    trace = np.zeros((n + 1, m + 1), np.uint8)  # 1: diagonal, 2: down, 4: across; 8: down goes on
-    trace[0, 1:] = 4
+    trace = np.zeros((n + 1, m + 1), np.uint8)  # 1: diagonal, 2: down, 4: across; 8, 16: down, across goes on
+    trace[0, 1:] = 4 | 16
+    trace[0, 1:2] = 4
     for i in range(1, n + 1):
         goes_on = down - extend > best - open_
         down = np.maximum(best - open_, down - extend)
@@ -39,6 +40,7 @@ def global_alignment(a: str, b: str, match: int = 1, mismatch: int = -3, open_:
         across[1:] = np.maximum.accumulate(here + steps)[:-1] - open_ - steps[1:] + extend
         best = np.maximum(here, across)
         trace[i] = np.where(best == diagonal, 1, np.where(best == down, 2, 4)) | np.where(goes_on, 8, 0)
+        trace[i, 1:] |= np.where(across[:-1] - extend > best[:-1] - open_, 16, 0).astype(np.uint8)
     i, j, p, q = n, m, [], []
     while i or j:
         t = trace[i, j]
@@ -52,9 +54,13 @@ def global_alignment(a: str, b: str, match: int = 1, mismatch: int = -3, open_:
                 p.append(a[i]), q.append("-")
                 if not more or not i:
                     break
-        else:  # the gap ends at the place from which it costs least
-            j -= 1
-            p.append("-"), q.append(b[j])
+        else:
+            while True:
+                more = bool(trace[i, j] & 16)
+                j -= 1
+                p.append("-"), q.append(b[j])
+                if not more or not j:
+                    break
     return int(best[m]), "".join(p[::-1]), "".join(q[::-1])
 
 

@@ -400,3 +400,75 @@ def op_event_windows(spark: SparkSession, d: str) -> DataFrame:
     from .streaming.ingest import windowed_counts
 
     return windowed_counts(table(spark, d, "events"))
+
+
+@query("""
+SELECT 'strand_differs' AS rule, c.id FROM f c JOIN f p ON c.parent = p.id WHERE c.strand <> p.strand
+UNION ALL SELECT 'outside_parent', c.id FROM f c JOIN f p ON c.parent = p.id WHERE c.start_pos < p.start_pos OR c.end_pos > p.end_pos
+UNION ALL SELECT 'sequence_differs', c.id FROM f c JOIN f p ON c.parent = p.id WHERE c.seqid <> p.seqid
+UNION ALL SELECT 'duplicate_id', id FROM f GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'parent_missing', child FROM edges WHERE parent NOT IN (SELECT id FROM f)
+UNION ALL SELECT 'bad_coordinates', id FROM f WHERE start_pos < 1 OR end_pos < start_pos
+UNION ALL SELECT 'beyond_sequence', id FROM f WHERE end_pos > 18000""")
+def op_validate_structure(spark: SparkSession, d: str) -> DataFrame:
+    """All structural findings, with sequences of 18,000 bases."""
+    from .operators.validate import structure
+
+    f = features(spark, d)
+    return structure(f, f.select("seqid").distinct().withColumn("length", F.lit(18000)))
+
+
+@query("SELECT l_partkey AS part, max(l_discount) AS identity, max_by(l_suppkey, (l_discount, l_suppkey)) AS candidate FROM lineitem GROUP BY l_partkey", view=False)
+def op_best_outcome(spark: SparkSession, d: str) -> DataFrame:
+    from .operators.fusion import best_outcome
+
+    c = table(spark, d, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_discount").alias("identity"), F.col("l_suppkey").alias("priority"), F.col("l_suppkey").alias("candidate"))
+    return best_outcome(c, "part")
+
+
+@query()
+def op_chain_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Cheapest chains of each transcript's exons as alignment blocks (dynamic programming per group)."""
+    from .operators.fusion import chain_blocks
+
+    own = exons(spark, d)
+    blocks = own.select(F.col("parent").alias("gene"), "seqid", (F.col("start_pos") - 1).alias("query_start"), (F.col("end_pos") - 1).alias("query_end"), (F.col("start_pos") + 99).alias("target_start"), (F.col("end_pos") + 99).alias("target_end"), (F.col("start_pos") % 3).alias("mismatches"))
+    return chain_blocks(blocks)
+
+
+@query("SELECT id FROM ex WHERE strand = '+' AND NOT EXISTS (SELECT 1 FROM gene g WHERE g.strand = '-' AND g.seqid = ex.seqid AND g.start_pos <= ex.end_pos AND g.end_pos >= ex.start_pos AND (least(g.end_pos, ex.end_pos) - greatest(g.start_pos, ex.start_pos) + 1) * 1.0 / least(g.end_pos - g.start_pos + 1, ex.end_pos - ex.start_pos + 1) > 0.1)")
+def op_copy_suppressed(spark: SparkSession, d: str) -> DataFrame:
+    """Exons of the plus strand that no gene of the minus strand covers by over a tenth."""
+    from .operators.fusion import copy_suppressed
+
+    f = features(spark, d)
+    models = f.filter("featuretype = 'exon' AND strand = '+'").select("id", "seqid", "start_pos", "end_pos")
+    return copy_suppressed(models, f.filter("featuretype = 'gene' AND strand = '-'")).select("id")
+
+
+@query("SELECT DISTINCT id FROM f WHERE featuretype = 'gene' AND id NOT IN (SELECT child FROM edges)")
+def op_tops(spark: SparkSession, d: str) -> DataFrame:
+    f = features(spark, d)
+    return graph.tops(f, graph.edges(f)).select("id").distinct()
+
+
+@query("SELECT f.id, f.featuretype, coalesce(max(c.depth), 0) AS levels FROM f LEFT JOIN closure c ON c.ancestor = f.id GROUP BY f.id, f.featuretype")
+def op_hierarchy_levels(spark: SparkSession, d: str) -> DataFrame:
+    """How many levels each feature has below it."""
+    f = features(spark, d)
+    deep = _closure(spark, d).groupBy(F.col("ancestor").alias("id")).agg(F.max("depth").alias("levels"))
+    return f.join(deep, "id", "left").select("id", "featuretype", F.coalesce("levels", F.lit(0).cast("long")).alias("levels"))
+
+
+@query("SELECT m.id AS transcript, count(*) AS n_parts, CAST(max(e.end_pos) - min(e.start_pos) + 1 AS BIGINT) AS span, CAST(sum(e.end_pos - e.start_pos + 1) AS BIGINT) AS bases FROM mrna m JOIN ex e ON e.parent = m.id GROUP BY m.id")
+def op_reference_length(spark: SparkSession, d: str) -> DataFrame:
+    """Number of parts, span and bases of each transcript."""
+    ex = features(spark, d).filter("featuretype = 'exon'")
+    return ex.groupBy(F.col("parent").alias("transcript")).agg(F.count(F.lit(1)).alias("n_parts"), (F.max("end_pos") - F.min("start_pos") + 1).alias("span"), F.sum(iv.length()).alias("bases"))
+
+
+@query("SELECT a.id FROM f a WHERE a.strand = '+' EXCEPT ALL SELECT b.id FROM f b WHERE b.featuretype = 'gene'")
+def op_difference(spark: SparkSession, d: str) -> DataFrame:
+    """Bag difference of two id lists."""
+    f = features(spark, d)
+    return f.filter("strand = '+'").select("id").exceptAll(f.filter("featuretype = 'gene'").select("id"))
