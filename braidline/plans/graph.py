@@ -22,7 +22,7 @@ def closure(pairs: DataFrame, max_depth: int = 8) -> DataFrame:
     for depth in range(2, max_depth + 1):
         step = pairs.select(F.col("parent").alias("descendant"), F.col("child").alias("next"))
         level = level.join(step, "descendant").select("ancestor", F.col("next").alias("descendant"), F.lit(depth).cast("long").alias("depth"))
-        if level.isEmpty():
+        if depth < max_depth and level.isEmpty():
             break
         out = out.unionByName(level)
     return out
