@@ -10,12 +10,15 @@ with more than one member:
     anchors, and neighbouring windows share one, so a run of windows is one row.
 2.  The second digit is the run's whole stretch of bytes.  Runs that are equal as a
     whole are repeated as a whole, whatever their number.
-3.  Where an anchor has different stretches, one run of each stretch is opened, and
-    the last digit is each window's own ``depth`` bytes.
-
-Digits are 64-bit fingerprints of byte ranges (a window is compared by the anchor's
-and its own, 128 bits together), so a pass is an aggregation with partial sums on
-the map side: no group is ever held in a task.
+3.  Where an anchor has different stretches, one run of each stretch goes on, in four
+    parts by how far its windows reach to the left of the anchor.  The bytes that all
+    windows of a part hold, its core, are the next digit: parts whose core is found
+    once end here, with all their windows.
+4.  The last digit is each remaining window's own ``depth`` bytes.
+
+Digits are 64-bit fingerprints of byte ranges (the last one also holds the anchor's),
+so a pass is an aggregation with partial sums on the map side: no group is ever held
+in a task.
 """
 
 from __future__ import annotations
@@ -28,9 +31,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stage_table
+from .common import drop_stage, release, stage_table
 
-GRAM = 32
+GRAM, PARTS = 32, 4
 #: An odd multiplier, its inverse modulo 2**64, and mixing constants.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -70,13 +73,20 @@ class RangeHash:
         return _mix((self.sums[stop] - self.sums[start]) * self.down[start])
 
 
+def parts(depth: int, gram: int) -> list[tuple[int, int]]:
+    """Least and greatest reach to the left of the windows of each part."""
+    edge = [j * (depth - gram + 1) // PARTS for j in range(PARTS + 1)]
+    return [(edge[j], edge[j + 1] - 1) for j in range(PARTS)]
+
+
 def runs(data: np.ndarray, stops: np.ndarray, depth: int, gram: int) -> tuple[np.ndarray, ...]:
     """Runs of windows with one anchor in a buffer of documents that end at ``stops``.
 
-    Gives document number, first and last window start in the document, anchor
-    and stretch digests.
+    Gives document number, first and last window start in the document, the
+    anchor's place after the first, digests of anchor and stretch, and those of the
+    parts' cores (0 where the run has no window of that part).
     """
-    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U64, U64))
+    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, U64, U64)) + (np.zeros((0, PARTS), np.int32),)
     n = len(data)
     if n < depth:
         return empty
@@ -108,7 +118,11 @@ def runs(data: np.ndarray, stops: np.ndarray, depth: int, gram: int) -> tuple[np
     shape = ((a - first) * 1024 + (last - first)).astype(U64)
     stretch = _mix(hashed.of(first, last + depth) + _mix(shape + U64(1)))
     base = starts[doc[first]]
-    return doc[first], first - base, last - base, grams[a], stretch
+    cores = np.zeros((len(a), PARTS), np.int32)
+    for j, (near, far) in enumerate(parts(depth, gram)):
+        has = (a - last <= far) & (a - first >= near)
+        cores[has, j] = (hashed.of(a[has] - near, a[has] - far + depth) >> U64(33)).astype(np.int32)
+    return doc[first], first - base, last - base, a - first, grams[a], stretch, cores
 
 
 def window_digests(data: np.ndarray, first: np.ndarray, last: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,16 +166,16 @@ def _runs_of(depth: int, gram: int):
             raw = [_bytes(t) for t in frame["t"]]
             keys, digests = frame["k"].to_numpy(), frame["th"].to_numpy()
             for a, b in _buffers(raw):
-                for lo, hi, part in _parts(raw[a:b], depth):
+                for lo, hi, part in _pieces(raw[a:b], depth):
                     data = np.frombuffer(b"".join(part), np.uint8)
-                    doc, first, last, anchor, stretch = runs(data, np.cumsum([len(x) for x in part]), depth, gram)
+                    doc, first, last, off, anchor, stretch, cores = runs(data, np.cumsum([len(x) for x in part]), depth, gram)
                     doc = doc + a + lo
-                    yield pd.DataFrame({"k": keys[doc], "th": digests[doc], "first": (first + hi).astype(np.int32), "last": (last + hi).astype(np.int32), "anchor": anchor.view(np.int64), "stretch": stretch.view(np.int64)})
+                    yield pd.DataFrame({"k": keys[doc], "th": digests[doc], "first": (first + hi).astype(np.int32), "last": (last + hi).astype(np.int32), "off": off.astype(np.int16), "anchor": anchor.view(np.int64), "stretch": stretch.view(np.int64), **{f"c{j}": cores[:, j] for j in range(PARTS)}})
 
     return run
 
 
-def _parts(raw: list[bytes], depth: int, most: int = 12_000_000) -> Iterator[tuple[int, int, list[bytes]]]:
+def _pieces(raw: list[bytes], depth: int, most: int = 12_000_000) -> Iterator[tuple[int, int, list[bytes]]]:
     """The buffer as it is, or one giant document in overlapping parts."""
     if len(raw) > 1 or len(raw[0]) <= most:
         yield 0, 0, raw
@@ -173,15 +187,13 @@ def _parts(raw: list[bytes], depth: int, most: int = 12_000_000) -> Iterator[tup
 def _windows_of(depth: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
             for k, th, text, of in zip(frame["k"], frame["th"], frame["t"], frame["runs"]):
                 data = np.frombuffer(_bytes(text), np.uint8)
-                first = np.array([r["first"] for r in of], np.int64)
-                last = np.array([r["last"] for r in of], np.int64)
+                first, last, anchor, n = (np.array([r[c] for r in of], np.int64) for c in ("first", "last", "anchor", "n"))
                 at, digest = window_digests(data, first, last, depth)
                 which = np.repeat(np.arange(len(of)), last - first + 1)
-                out.append(pd.DataFrame({"k": k, "th": th, "at": at.astype(np.int32), "anchor": np.array([r["anchor"] for r in of], np.int64)[which], "n": np.array([r["n"] for r in of], np.int64)[which], "digest": digest.view(np.int64)}))
-            yield pd.concat(out) if out else pd.DataFrame({c: [] for c in ("k", "th", "at", "anchor", "n", "digest")})
+                digest = _mix(digest + anchor.view(U64)[which] * U64(BASE))
+                yield pd.DataFrame({"k": k, "th": th, "at": at.astype(np.int32), "n": np.minimum(n, 2)[which].astype(np.int32), "digest": digest.view(np.int64)})
 
     return run
 
@@ -189,28 +201,40 @@ def _windows_of(depth: int):
 def repeated_spans(docs: DataFrame, depth: int, gram: int = GRAM) -> DataFrame:
     """(k, th, start, stop) ranges whose union is what is repeated; docs has k, th, t."""
     kind = docs.schema["k"].dataType.simpleString()
-    rows = docs.mapInPandas(_runs_of(depth, gram), f"k {kind}, th long, first int, last int, anchor long, stretch long")
+    rows = docs.mapInPandas(_runs_of(depth, gram), f"k {kind}, th int, first int, last int, off short, anchor long, stretch long, " + ", ".join(f"c{j} int" for j in range(PARTS)))
     rows = stage_table(rows, "runs")
     anchors = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("stretch").alias("s0"), F.max("stretch").alias("s1"))
     anchors = stage_table(anchors.filter("n > 1").selectExpr("anchor", "s0 <> s1 AS mixed"), "anchors")
+    release(docs.sparkSession)
     shared = stage_table(rows.join(anchors, "anchor"), "shared")
+    drop_stage(rows)
+    drop_stage(anchors)
     span = (F.col("first").alias("start"), (F.col("last") + depth).alias("stop"))
     whole = shared.filter("NOT mixed").select("k", "th", *span)
     mixed = shared.filter("mixed").drop("mixed")
-    stretches = mixed.groupBy("anchor", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "th", "first", "last")).alias("r"))
+    of = F.struct("k", "th", "first", "last", "off", *(f"c{j}" for j in range(PARTS)))
+    stretches = mixed.groupBy("anchor", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min(of).alias("r"))
     stretches = stage_table(stretches.select("anchor", "stretch", "n", "r.*"), "stretches")
     again = stretches.filter("n > 1").select("anchor", "stretch")
     more = mixed.join(again, ["anchor", "stretch"]).select("k", "th", *span)
-    release(docs.sparkSession)
-    opened = stretches.groupBy("k", "th").agg(F.collect_list(F.struct("first", "last", "anchor", "n")).alias("runs"))
+    place = F.col("first") + F.col("off").cast("int")
+    side = [F.struct(F.lit(j).alias("side"), F.col(f"c{j}").alias("digest"), F.greatest("first", place - far).alias("a"), F.least("last", place - near).alias("b")) for j, (near, far) in enumerate(parts(depth, gram))]
+    sides = stretches.select("k", "th", "anchor", "n", F.explode(F.array(*side)).alias("h")).select("k", "th", "anchor", "n", "h.*").filter("a <= b")
+    twice = stage_table(sides.groupBy("anchor", "side", "digest").agg(F.sum("n").alias("m")).filter("m > 1").drop("m"), "cores")
+    opened = sides.join(twice, ["anchor", "side", "digest"])
+    opened = opened.groupBy("k", "th").agg(F.collect_list(F.struct(F.col("a").alias("first"), F.col("b").alias("last"), "anchor", "n")).alias("runs"))
     opened = stage_table(opened.select(F.col("k").alias("ok"), F.col("th").alias("oth"), "runs"), "opened")
+    release(docs.sparkSession)
     windows = docs.join(opened, F.col("k").eqNullSafe(F.col("ok")) & (F.col("th") == F.col("oth"))).select("k", "th", "t", "runs")
-    windows = stage_table(windows.mapInPandas(_windows_of(depth), f"k {kind}, th long, at int, anchor long, n long, digest long"), "windows")
-    equal = windows.groupBy("anchor", "digest").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor", "digest")
-    equal = stage_table(equal, "equal")
-    single = windows.filter("n = 1").join(equal, ["anchor", "digest"]).select("k", "th", F.col("at").alias("start"), (F.col("at") + depth).alias("stop"))
+    windows = stage_table(windows.mapInPandas(_windows_of(depth), f"k {kind}, th int, at int, n int, digest long"), "windows")
+    release(docs.sparkSession)
+    equal = stage_table(windows.groupBy("digest").agg(F.sum("n").alias("n")).filter("n > 1").select("digest"), "equal")
+    release(docs.sparkSession)
+    single = windows.filter("n = 1").join(equal, "digest").select("k", "th", F.col("at").alias("start"), (F.col("at") + depth).alias("stop"))
     spans = whole.unionByName(more).unionByName(single).groupBy("k", "th").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
     spans = stage_table(spans, "spans")
+    for done in (shared, stretches, twice, opened, windows, equal):
+        drop_stage(done)
     release(docs.sparkSession)
     return spans
 
@@ -240,7 +264,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", dep
     Null keys stay null; an empty table gives no rows.
     """
     kind = docs.schema[key].dataType.simpleString()
-    own = docs.select(F.col(key).alias("k"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("th"), F.col(text).alias("t"))
+    own = docs.select(F.col(key).alias("k"), F.hash(text).alias("th"), F.col(text).alias("t"))
     spans = repeated_spans(own, depth).select(F.col("k").alias("sk"), F.col("th").alias("sth"), "spans")
     joined = own.join(spans, F.col("k").eqNullSafe(F.col("sk")) & (F.col("th") == F.col("sth")), "left").select("k", "t", "spans")
     out = joined.mapInPandas(_cut, f"k {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
