@@ -19,6 +19,8 @@ from .common import id_crc
 
 HASH_BITS = 15
 ORDERS = (1, 2, 3, 4)
+#: Values of the hash by which training rows are chosen.
+SPAN = 1 << 40
 #: Odd multipliers of the n-gram hashes.
 FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
@@ -125,16 +127,23 @@ def train(rows: list[tuple[str, str]], epochs: int = 8, rate: float = 4.0, decay
 def training_rows(docs: DataFrame, key: str, text: str, lang: str, per_language: int, chars: int) -> list[tuple[str, str]]:
     """At most ``per_language`` rows of each language (least hash first) outside the held-out part.
 
-    What is collected is bounded: each text gives at most ``chars`` characters, from
-    a place that its hash chooses.
+    What is collected is bounded, whatever the table: about twice ``per_language``
+    rows of each of at most 1000 languages, and of a text at most ``chars``
+    characters from a place that its hash chooses.
     """
     usable = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (id_crc(key) % 3 != 1) & (F.length(text) > 0))
     place = F.pmod(F.xxhash64(text), F.greatest(F.char_length(text) - chars, F.lit(0)) + 1).cast("int") + 1
-    part = usable.select(F.xxhash64(key, text).alias("h"), F.col(lang).alias("l"), F.substring(F.col(text), place, F.lit(chars)).alias("t"))
-    out = []
-    for (name,) in part.select("l").distinct().sort("l").limit(1000).collect():
-        out += [(r["t"], name) for r in part.filter(F.col("l") == name).orderBy("h", "t").limit(per_language).collect()]
-    return out
+    h = F.pmod(F.xxhash64(key, text), F.lit(SPAN))
+    part = usable.select(h.alias("h"), F.col(lang).alias("l"), F.substring(F.col(text), place, F.lit(chars)).alias("t"))
+    # Rows below a cut that about twice the wanted number stay under, so that no task sends more than its share.
+    cuts = [(r["l"], max(1, min(SPAN, SPAN * 2 * per_language // r["count"]))) for r in part.groupBy("l").count().orderBy("l").limit(1000).collect()]
+    if not cuts:
+        return []
+    below = F.lit(False)
+    for name, cut in cuts:
+        below = below | ((F.col("l") == name) & (F.col("h") < cut))
+    rows = sorted((r["l"], r["h"], r["t"]) for r in part.filter(below).collect())
+    return [(t, name) for name, _ in cuts for _, _, t in [r for r in rows if r[0] == name][:per_language]]
 
 
 def has_letter(text: str) -> bool:
