@@ -199,9 +199,10 @@ def _windows_of(depth: int):
 
 
 def repeated_spans(docs: DataFrame, depth: int, gram: int = GRAM) -> DataFrame:
-    """(k, th, start, stop) ranges whose union is what is repeated; docs has k, th, t."""
+    """(k, th, spans): ranges whose union is what is repeated; docs has k, th, t, and
+    th, a 64-bit digest of t, tells the rows of one key apart."""
     kind = docs.schema["k"].dataType.simpleString()
-    rows = docs.mapInPandas(_runs_of(depth, gram), f"k {kind}, th int, first int, last int, off short, anchor long, stretch long, " + ", ".join(f"c{j} int" for j in range(PARTS)))
+    rows = docs.mapInPandas(_runs_of(depth, gram), f"k {kind}, th long, first int, last int, off short, anchor long, stretch long, " + ", ".join(f"c{j} int" for j in range(PARTS)))
     rows = stage_table(rows, "runs")
     anchors = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("stretch").alias("s0"), F.max("stretch").alias("s1"))
     anchors = stage_table(anchors.filter("n > 1").selectExpr("anchor", "s0 <> s1 AS mixed"), "anchors")
@@ -226,7 +227,7 @@ def repeated_spans(docs: DataFrame, depth: int, gram: int = GRAM) -> DataFrame:
     opened = stage_table(opened.select(F.col("k").alias("ok"), F.col("th").alias("oth"), "runs"), "opened")
     release(docs.sparkSession)
     windows = docs.join(opened, F.col("k").eqNullSafe(F.col("ok")) & (F.col("th") == F.col("oth"))).select("k", "th", "t", "runs")
-    windows = stage_table(windows.mapInPandas(_windows_of(depth), f"k {kind}, th int, at int, n int, digest long"), "windows")
+    windows = stage_table(windows.mapInPandas(_windows_of(depth), f"k {kind}, th long, at int, n int, digest long"), "windows")
     release(docs.sparkSession)
     equal = stage_table(windows.groupBy("digest").agg(F.sum("n").alias("n")).filter("n > 1").select("digest"), "equal")
     release(docs.sparkSession)
@@ -264,7 +265,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", dep
     Null keys stay null; an empty table gives no rows.
     """
     kind = docs.schema[key].dataType.simpleString()
-    own = docs.select(F.col(key).alias("k"), F.hash(text).alias("th"), F.col(text).alias("t"))
+    own = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
     spans = repeated_spans(own, depth).select(F.col("k").alias("sk"), F.col("th").alias("sth"), "spans")
     joined = own.join(spans, F.col("k").eqNullSafe(F.col("sk")) & (F.col("th") == F.col("sth")), "left").select("k", "t", "spans")
     out = joined.mapInPandas(_cut, f"k {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
