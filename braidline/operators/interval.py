@@ -31,13 +31,20 @@ def overlap_join(left: DataFrame, right: DataFrame, bin_bits: int = 9) -> DataFr
     Both sides go to every bin that they touch, and a pair is made in the first bin
     that both have, so it is made once.  Intervals over 64 bins are joined at a
     coarser level, where they touch few bins, with everything else at that level.
+    The last level takes all that are wider; its outer bins have no end, so every
+    width is joined and none touches more than 66 bins there.
     """
     def binned(df: DataFrame, lo: str, hi: str, tag: str) -> DataFrame:
-        level = F.when(F.col(hi) - F.col(lo) < (64 << bin_bits), F.lit(0)).otherwise(F.ceil(F.log2((F.col(hi) - F.col(lo) + 1) / (1 << bin_bits)) / 6).cast("int"))
+        wide = F.col(hi).cast("double") - F.col(lo).cast("double") + 1
+        level = F.when(wide <= (64 << bin_bits), F.lit(0)).otherwise(F.least(F.ceil(F.log2(wide / (1 << bin_bits)) / 6).cast("int"), F.lit(levels[-1])))
         return df.withColumn(f"{tag}_level", level)
 
+    def bin_of(c: str, k: int) -> Column:
+        out = F.shiftright(F.col(c).cast("long"), bin_bits + 6 * k)
+        return F.greatest(F.lit(-1).cast("long"), F.least(out, F.lit(64).cast("long"))) if k == levels[-1] else out
+
     def at(df: DataFrame, lo: str, hi: str, tag: str, levels: list[int]) -> DataFrame:
-        parts = F.array(*(F.struct(F.lit(k).alias("k"), F.shiftright(F.col(lo), bin_bits + 6 * k).alias("a"), F.shiftright(F.col(hi), bin_bits + 6 * k).alias("b")) for k in levels))
+        parts = F.array(*(F.struct(F.lit(k).alias("k"), bin_of(lo, k).alias("a"), bin_of(hi, k).alias("b")) for k in levels))
         df = df.withColumn("_p", F.explode(F.filter(parts, lambda p: p["k"] >= F.col(f"{tag}_level"))))
         df = df.withColumn(f"{tag}_bin", F.explode(F.sequence("_p.a", "_p.b")))
         return df.withColumn(f"{tag}_k", F.col("_p.k")).withColumn(f"{tag}_first", F.col("_p.a")).drop("_p")
