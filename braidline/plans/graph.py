@@ -28,6 +28,30 @@ def closure(pairs: DataFrame, max_depth: int = 8) -> DataFrame:
     return out
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df``, computed once: in the checkpoint folder, where one is set, or in memory."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) is not None else df.persist()
+
+
+def walk(anchors: DataFrame, pairs: DataFrame, reached: DataFrame, depth: int, bound: int, up: bool = False) -> DataFrame:
+    """(ancestor, descendant, depth) of the anchors from below ``depth`` on to ``bound``.
+
+    It goes on from the rows of the closure ``reached`` that have this depth, and
+    ends early when a level is empty; a cycle ends by the bound.
+    """
+    near, far = ("descendant", "ancestor") if up else ("ancestor", "descendant")
+    own = anchors.select(F.col("anchor").alias(near)).distinct()
+    level = reached.filter(F.col("depth") == depth).join(own, near, "left_semi").select("ancestor", "descendant", "depth")
+    step = pairs.select(F.col("child" if up else "parent").alias(far), F.col("parent" if up else "child").alias("next"))
+    out = level.limit(0)
+    for below in range(depth + 1, bound + 1):
+        level = settled(level.join(step, far).select(near, F.col("next").alias(far), F.lit(below).cast("long").alias("depth")))
+        if level.isEmpty():
+            break
+        out = out.unionByName(level)
+    return out
+
+
 def relatives(anchors: DataFrame, pairs: DataFrame, features: DataFrame, up: bool = False, featuretype: str | None = None, level: int | None = None, distinct: bool = False) -> DataFrame:
     """Features below (or above) the anchors (column ``anchor``), with their depth."""
     near, far = ("descendant", "ancestor") if up else ("ancestor", "descendant")

@@ -90,11 +90,22 @@ class FeatureStore:
     # hierarchy
 
     def children(self, anchors: DataFrame, level: int | None = None, featuretype: str | None = None, distinct: bool = False) -> DataFrame:
-        """Features below each anchor (column ``anchor``), with their depth."""
-        return graph.relatives(anchors, self.closure, self.features, False, featuretype, level, distinct)
+        """Features below each anchor (column ``anchor``), with their depth.
+
+        Without a level the walk ends at the greater of 64 and four times ``max_depth``.
+        """
+        return graph.relatives(anchors, self._reach(anchors, level, False), self.features, False, featuretype, level, distinct)
 
     def parents(self, anchors: DataFrame, level: int | None = None, featuretype: str | None = None, distinct: bool = False) -> DataFrame:
-        return graph.relatives(anchors, self.closure, self.features, True, featuretype, level, distinct)
+        """Features above each anchor, as ``children`` has those below."""
+        return graph.relatives(anchors, self._reach(anchors, level, True), self.features, True, featuretype, level, distinct)
+
+    def _reach(self, anchors: DataFrame, level: int | None, up: bool) -> DataFrame:
+        """The closure, and what lies beyond it for the anchors that reach its depth."""
+        if level is not None and level <= self.max_depth:
+            return self.closure
+        bound = max(64, 4 * self.max_depth) if level is None else level
+        return self.closure.unionByName(graph.walk(anchors, self.edges, self.closure, self.max_depth, bound, up))
 
     def children_bp(self, anchors: DataFrame, featuretype: str = "exon", merge: bool = True) -> DataFrame:
         """Bases below each anchor, each counted once with ``merge``."""
