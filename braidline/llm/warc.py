@@ -24,6 +24,11 @@ CRLF = b"\r\n"
 #: Elements whose text is no text of the page, and those that end a line.
 SILENT = {"script", "style", "noscript", "template", "head", "svg"}
 BREAKS = {"p", "div", "br", "li", "ul", "ol", "tr", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "header", "footer", "nav", "aside", "blockquote", "pre", "title", "td", "th", "main", "form", "hr"}
+#: What a head may hold; any other element, or text, ends one that is not closed.
+HEAD = {"html", "head", "base", "basefont", "bgsound", "link", "meta", "title", "noscript", "noframes", "script", "style", "template"}
+#: Elements that end an svg that is not closed, but in these parts of it.
+NOT_SVG = {"b", "big", "blockquote", "body", "br", "center", "code", "dd", "div", "dl", "dt", "em", "embed", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "i", "img", "li", "listing", "menu", "meta", "nobr", "ol", "p", "pre", "ruby", "s", "small", "span", "strong", "strike", "sub", "sup", "table", "tt", "u", "ul", "var"}
+FOREIGN = {"foreignobject", "desc"}
 
 Headers = list[tuple[str, str]]
 
@@ -76,30 +81,79 @@ def first(headers: Headers, name: str) -> str | None:
 
 
 class _Text(HTMLParser):
+    """Text and line ends (None); those of silent elements go when the element ends.
+
+    An element that is never closed is silent as far as HTML lets it reach: a head
+    to the body, a script or style to the end.  The text after an unclosed noscript
+    or template is not lost, as it may be all of the page.
+    """
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.silent: list[str] = []
+        self.out: list[str | None] = []
+        self.silent: list[tuple[str, int]] = []
+
+    def open(self, tag: str) -> None:
+        self.silent.append((tag, len(self.out)))
+
+    def end(self, at: int) -> None:
+        """The silent element ``at`` ends, and all in it: line ends stay, text goes."""
+        start = self.silent[at][1]
+        self.out[start:] = [x for x in self.out[start:] if x is None]
+        del self.silent[at:]
+
+    def inner(self) -> str | None:
+        return self.silent[-1][0] if self.silent else None
+
+    def last(self, tag: str) -> int | None:
+        return next((i for i in range(len(self.silent) - 1, -1, -1) if self.silent[i][0] == tag), None)
+
+    def starts(self, tag: str) -> None:
+        """End what cannot hold the element."""
+        if self.inner() == "title" and self.last("head") is not None:
+            self.end(len(self.silent) - 1)
+        if self.inner() == "svg" and tag in NOT_SVG:
+            self.end(len(self.silent) - 1)
+        head = self.last("head")
+        if head is not None and (tag == "body" or self.inner() == "head" and tag not in HEAD):
+            self.end(head)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in SILENT:
-            self.silent.append(tag)
+        self.starts(tag)
+        if tag in SILENT or tag in FOREIGN and self.last("svg") is not None:
+            self.open(tag)
         elif tag in BREAKS:
-            self.out.append("\n")
+            self.out.append(None)
+            if tag == "title" and self.inner() == "head":
+                self.open(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in self.silent:
-            del self.silent[self.silent.index(tag):]
-        elif tag in BREAKS:
-            self.out.append("\n")
+        at = self.last(tag)
+        if at is not None and tag in FOREIGN:
+            del self.silent[at:]  # their text goes with the svg
+        elif at is not None:
+            self.end(at)
+        if tag in BREAKS:
+            self.out.append(None)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.starts(tag)
         if tag in BREAKS:
-            self.out.append("\n")
+            self.out.append(None)
 
     def handle_data(self, data: str) -> None:
-        if not self.silent:
-            self.out.append(data)
+        if self.inner() == "head" and data.strip():
+            self.end(len(self.silent) - 1)
+        self.out.append(data)
+
+    def text(self) -> str:
+        stop = len(self.out)
+        for tag, start in reversed(self.silent):
+            if tag in ("head", "title", "script", "style"):
+                self.out[start:stop] = [x for x in self.out[start:stop] if x is None]
+            stop = start
+        self.silent = []
+        return "".join("\n" if x is None else x for x in self.out)
 
 
 def plain_text(html: str) -> str:
@@ -107,7 +161,7 @@ def plain_text(html: str) -> str:
     parser = _Text()
     parser.feed(html)
     parser.close()
-    lines = (" ".join(x.split()) for x in "".join(parser.out).split("\n"))
+    lines = (" ".join(x.split()) for x in parser.text().split("\n"))
     return "\n".join(x for x in lines if x)
 
 
