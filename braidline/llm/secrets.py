@@ -41,8 +41,15 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]{16,}", ("AKIA",)),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
+#: Between two lines of a key: white space, also escaped, and what quotes or joins strings.
+GAP = r"""(?:\\[nr]|[\s"',>]|\+(?=\s))"""
+#: A key whose END line is missing: its header lines, runs of base64, a short last line.
+HEADERS = GAP + r"*+(?:(?:Proc-Type|DEK-Info|Content-Domain|Comment): ?(?:[^\r\n\\]|\\(?![nr]))*+" + GAP + r"++)*+"
+LAST = r"""(?:[\x20\t"',+]*+(?:\\[nr]|[\r\n])""" + GAP + r"""*+[A-Za-z0-9+/=]++(?=[\x20\t]*+(?:[\r\n\\"'-]|\z))|""" + GAP + r"++[A-Za-z0-9+/]++={1,2})?+"
+BODY = GAP + r"*+[A-Za-z0-9+/=]{16,}+(?:" + GAP + r"*+[A-Za-z0-9+/=]{16,}+)*+" + LAST
 ADDED_RULES = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", ("PRIVATE KEY",)),
+    # from BEGIN to the END line of the same label, with no other marker between; else to the end of the body
+    Rule("pem", r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----(?:(?:[^-]++|-(?!----))*+-----END \1-----|" + HEADERS + BODY + r"|)", ("PRIVATE KEY",), version=2),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", ("eyJ",)),
 )
 RULES = BASE_RULES + ADDED_RULES
