@@ -1,24 +1,23 @@
 """Operator 10: repeated byte strings by a depth-limited radix sort of suffixes.
 
-Only the first ``depth`` bytes of a suffix count, so suffixes of one group of the
-finished sort are exactly the repeated windows of ``depth`` bytes.  The passes run
-from the most significant digit on, each over the groups that the one before left
-with more than one member:
-
-1.  The first digit of a window is its anchor: the least-hashed ``gram`` of bytes
-    in it (leftmost of equals) and where it stands.  Equal windows have equal
-    anchors, and neighbouring windows share one, so a run of windows is one row.
-2.  The second digit is the run's whole stretch of bytes.  Runs that are equal as a
-    whole are repeated as a whole, whatever their number.
-3.  Where an anchor has different stretches, one run of each stretch goes on, in four
-    parts by how far its windows reach to the left of the anchor.  The bytes that all
-    windows of a part hold, its core, are the next digit: parts whose core is found
-    once end here, with all their windows.
-4.  The last digit is each remaining window's own ``depth`` bytes.
-
-Digits are 64-bit fingerprints of byte ranges (the last one also holds the anchor's),
-so a pass is an aggregation with partial sums on the map side: no group is ever held
-in a task.
+Only the first ``depth`` bytes of a suffix count, so the groups of more than one in
+the finished sort are exactly the repeated windows of ``depth`` bytes.
+
+1.  Buckets.  A window's anchor is the least-hashed ``GRAM`` bytes in it (leftmost of
+    equals): equal windows have it at the same place.  Neighbouring windows share
+    one, so a run of windows is one row.  Runs whose anchor's hash is found once have
+    no repeated window and end here; hashes choose and sieve only, and decide nothing
+    else.
+2.  Runs whose whole stretches of bytes are equal (grouped by the bytes themselves)
+    are repeated as a whole, whatever their number; one of each stretch goes on.
+3.  In each bucket the stretches are sorted by most-significant-digit passes over
+    their bytes to the right of the anchor, and to the left of it, a digit being
+    eight bytes; groups of one end at each pass.  The sorts give, for every reach, the
+    classes of stretches that agree that far.  Windows with the same place of the
+    anchor and the same class to both sides are equal, byte by byte.
+4.  A bucket of more than ``limit`` stretches is not held in a task: its next digits
+    are the bytes that a quarter of the places have in common, then the rest of each
+    window, and each of these two passes is an aggregation with partial sums.
 """
 
 from __future__ import annotations
@@ -27,246 +26,329 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stage, release, stage_table
+from .common import content_id, drop_stage, portions, stage_table, utf8
 
 GRAM, PARTS = 32, 4
-#: An odd multiplier, its inverse modulo 2**64, and mixing constants.
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
-MIX = np.uint64(0xD6E8FEB86659FD93)
 U64 = np.uint64
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, U64)
-    if n > 1:
-        out[1:] = U64(base)
-        with np.errstate(over="ignore"):
-            out = np.multiply.accumulate(out)
+#: Odd multipliers of the hashes.
+SPREAD, MIX = 0x9E3779B97F4A7C15, U64(0xD6E8FEB86659FD93)
+
+Arrays = tuple[np.ndarray, ...]
+RUN = "i0 long, i1 long, first int, n int, off int, h long, x long"
+
+
+def block_hashes(data: np.ndarray, widths: tuple[int, ...]) -> list[np.ndarray]:
+    """Hashes of the blocks of each width, rising powers of two, that begin at each byte."""
+    out, h, wide, f = [], (data.astype(U64) + U64(1)) * MIX, 1, SPREAD
+    for w in widths:
+        while wide < w:
+            h = h[:-wide] * U64(f) + h[wide:]
+            h ^= h >> U64(29)
+            wide, f = 2 * wide, f * SPREAD % (1 << 64)
+        out.append(h)
     return out
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> U64(32))) * MIX
-    h = (h ^ (h >> U64(29))) * MIX
-    return h ^ (h >> U64(32))
-
-
-class RangeHash:
-    """Fingerprints of byte ranges of one buffer; equal bytes, equal fingerprint."""
-
-    values = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
-    up = down = np.ones(1, U64)
-
-    def __init__(self, data: np.ndarray) -> None:
-        n = len(data) + 1
-        if len(RangeHash.up) < n:
-            RangeHash.up, RangeHash.down = _powers(BASE, n), _powers(INVERSE, n)
-        self.sums = np.zeros(n, U64)
-        np.cumsum(self.values[data] * self.up[:n - 1], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[stop] - self.sums[start]) * self.down[start])
-
-
-def parts(depth: int, gram: int) -> list[tuple[int, int]]:
-    """Least and greatest reach to the left of the windows of each part."""
-    edge = [j * (depth - gram + 1) // PARTS for j in range(PARTS + 1)]
-    return [(edge[j], edge[j + 1] - 1) for j in range(PARTS)]
-
-
-def runs(data: np.ndarray, stops: np.ndarray, depth: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor in a buffer of documents that end at ``stops``.
-
-    Gives document number, first and last window start in the document, the
-    anchor's place after the first, digests of anchor and stretch, and those of the
-    parts' cores (0 where the run has no window of that part).
-    """
-    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, U64, U64)) + (np.zeros((0, PARTS), np.int32),)
-    n = len(data)
-    if n < depth:
-        return empty
-    hashed = RangeHash(data)
-    wide = depth - gram + 1
-    at = np.arange(n - gram + 1, dtype=np.int64)
-    grams = hashed.of(at, at + gram)
-    low = (grams & ~U64(0xFFFFFF)) | at.astype(U64)
+def least_place(values: np.ndarray, wide: int) -> np.ndarray:
+    """Place of the least of ``wide`` neighbours (leftmost of equals) from each place on."""
+    low = (values & ~U64(0xFFFFFF)) | np.arange(len(values), dtype=U64)
     span = 1
     while 2 * span <= wide:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
     if span < wide:
         low = np.minimum(low[:len(low) - (wide - span)], low[wide - span:])
-    anchor = (low & U64(0xFFFFFF)).astype(np.int64)  # of the window at each place
+    return (low & U64(0xFFFFFF)).astype(np.int64)
+
+
+def runs(data: np.ndarray, stops: np.ndarray, depth: int, gram: int = GRAM) -> Arrays:
+    """Runs of windows with one anchor in the texts that end at ``stops``.
+
+    Gives text number, first window's start in the text, number of windows, the
+    anchor's place after the first, and hashes of anchor and stretch.
+    """
+    if len(data) < depth:
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
+    block = 1 << (depth.bit_length() - 1)
+    grams, blocks = block_hashes(data, (gram, block))
+    grams = grams * MIX
+    anchor = least_place(grams, depth - gram + 1)
     starts = np.concatenate([[0], stops[:-1]])
     doc = np.repeat(np.arange(len(stops)), stops - starts)[:len(anchor)]
     fits = np.arange(len(anchor)) + depth <= stops[doc]
     change = np.ones(len(anchor), bool)
     change[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | ~fits[:-1]
     first = np.flatnonzero(change & fits)
-    if not len(first):
-        return empty
-    # a run ends before the next change, or before the first window that does not fit
-    edge = np.flatnonzero(change | ~fits)
-    k = np.searchsorted(edge, first, side="right")
-    last = np.where(k < len(edge), edge[np.minimum(k, len(edge) - 1)], len(anchor)) - 1
+    edge = np.append(np.flatnonzero(change | ~fits), len(anchor))
+    n = edge[np.searchsorted(edge, first, "right")] - first
+    last = first + n - 1 + depth - block
+    x = np.zeros(len(first), U64)
+    for j in range(-(-2 * depth // block)):
+        x = (x ^ blocks[np.minimum(first + j * block, last)]) * U64(SPREAD)
+        x ^= x >> U64(32)
     a = anchor[first]
-    shape = ((a - first) * 1024 + (last - first)).astype(U64)
-    stretch = _mix(hashed.of(first, last + depth) + _mix(shape + U64(1)))
-    base = starts[doc[first]]
-    cores = np.zeros((len(a), PARTS), np.int32)
-    for j, (near, far) in enumerate(parts(depth, gram)):
-        has = (a - last <= far) & (a - first >= near)
-        cores[has, j] = (hashed.of(a[has] - near, a[has] - far + depth) >> U64(33)).astype(np.int32)
-    return doc[first], first - base, last - base, a - first, grams[a], stretch, cores
-
-
-def window_digests(data: np.ndarray, first: np.ndarray, last: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Run number and digest of every window of the runs, in order."""
-    n = last - first + 1
-    stop = np.cumsum(n)
-    at = np.repeat(first - stop + n, n) + np.arange(int(n.sum()))
-    return at, RangeHash(data).of(at, at + depth)
-
-
-def joined_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Union of half-open ranges; touching ones join."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            if b > out[-1][1]:
-                out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return out
+    return doc[first], first - starts[doc[first]], n, a - first, grams[a].view(np.int64), x.view(np.int64)
+
+
+def _runs_of(depth: int, piece: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = utf8(batch.column("t"))
+            ids = [batch.column(c).to_numpy() for c in ("i0", "i1")]
+            for a, b in portions(at, piece):
+                # one giant text is read in parts, of which each window lies in one
+                for lo in range(at[a], max(at[a] + 1, at[b] - depth + 1), piece) if b == a + 1 else (at[a],):
+                    hi = min(at[b], lo + piece + depth - 1) if b == a + 1 else at[b]
+                    doc, first, n, off, h, x = runs(data[lo:hi], np.minimum(at[a + 1:b + 1], hi) - lo, depth)
+                    out = [*(i[doc + a] for i in ids), *(v.astype(np.int32) for v in (first + lo - at[a] if b == a + 1 else first, n, off)), h, x]
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in out], ["i0", "i1", "first", "n", "off", "h", "x"])
 
+    return run
 
-def _bytes(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass")
 
+STRETCH = "h long, off int, n int, x long, i0 long, i1 long, first int, b binary"
 
-def _buffers(texts: list[bytes], most: int = 6_000_000) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield start, i
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
 
+def _stretches_of(depth: int, most: int = 16_384):
+    """The bytes of the runs, a row each."""
+    names = [c.split()[0] for c in STRETCH.split(", ")]
 
-def _runs_of(depth: int, gram: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            raw = [_bytes(t) for t in frame["t"]]
-            keys, digests = frame["k"].to_numpy(), frame["th"].to_numpy()
-            for a, b in _buffers(raw):
-                for lo, hi, part in _pieces(raw[a:b], depth):
-                    data = np.frombuffer(b"".join(part), np.uint8)
-                    doc, first, last, off, anchor, stretch, cores = runs(data, np.cumsum([len(x) for x in part]), depth, gram)
-                    doc = doc + a + lo
-                    yield pd.DataFrame({"k": keys[doc], "th": digests[doc], "first": (first + hi).astype(np.int32), "last": (last + hi).astype(np.int32), "off": off.astype(np.int16), "anchor": anchor.view(np.int64), "stretch": stretch.view(np.int64), **{f"c{j}": cores[:, j] for j in range(PARTS)}})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = utf8(batch.column("t"))
+            lists = batch.column("runs")
+            of = lists.flatten()
+            own = {c: of.field(c).to_numpy() for c in ("first", "n", "off", "h", "x")}
+            doc = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy())
+            own |= {c: batch.column(c).to_numpy()[doc] for c in ("i0", "i1")}
+            start = at[doc] + own["first"]
+            stop = start + own["n"] - 1 + depth
+            for a in range(0, len(doc), most):
+                b = pa.array([data[p:q].tobytes() for p, q in zip(start[a:a + most].tolist(), stop[a:a + most].tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(pa.array(own[c][a:a + most]) for c in names[:-1]), b], names)
 
     return run
 
 
-def _pieces(raw: list[bytes], depth: int, most: int = 12_000_000) -> Iterator[tuple[int, int, list[bytes]]]:
-    """The buffer as it is, or one giant document in overlapping parts."""
-    if len(raw) > 1 or len(raw[0]) <= most:
-        yield 0, 0, raw
-        return
-    for at in range(0, max(1, len(raw[0]) - depth + 1), most):
-        yield 0, at, [raw[0][at:at + most + depth - 1]]
+def context(data: np.ndarray, anchor: np.ndarray, reach: np.ndarray, wide: int) -> np.ndarray:
+    """Digits (eight bytes each, as numbers) of the ``wide`` bytes from each anchor on; zero beyond ``reach``."""
+    wide = -(-wide // 8) * 8
+    padded = np.concatenate([data, np.zeros(wide, np.uint8)])
+    rows = np.lib.stride_tricks.sliding_window_view(padded, wide)[anchor].copy()
+    rows[np.arange(wide) >= reach[:, None]] = 0
+    return rows.view(">u8").astype(U64)
+
+
+BYTE = np.arange(56, -1, -8, dtype=U64)
+
+
+def radix_order(digits: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows by bucket and digits, by passes from the most significant digit on.
 
+    ``bucket`` rises.  Also gives how many bytes each row in that order shares with
+    the one before it: -1 at the beginning of a bucket.
+    """
+    rows, passes = digits.shape
+    order = np.arange(rows)
+    shared = np.full(rows, 8 * passes)
+    edge = np.ones(rows + 1, bool)
+    edge[1:-1] = bucket[1:] != bucket[:-1]
+    shared[edge[:-1]] = -1
+    for d in range(passes):
+        open_ = np.flatnonzero(~(edge[:-1] & edge[1:]))  # those in groups of more than one
+        if not len(open_):
+            break
+        group = np.cumsum(edge[:-1])[open_]
+        digit = digits[order[open_], d]
+        by = np.lexsort((digit, group))
+        order[open_], digit = order[open_][by], digit[by]
+        apart = np.flatnonzero((digit[1:] != digit[:-1]) & (group[1:] == group[:-1])) + 1
+        differ = digit[apart] ^ digit[apart - 1]
+        edge[open_[apart]] = True
+        shared[open_[apart]] = 8 * d + ((differ[:, None] >> BYTE) == 0).sum(1)
+    return order, shared
+
+
+def classes(order: np.ndarray, shared: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Number of the class of each row (down) that agrees in the first ``reach`` bytes (across)."""
+    place = np.arange(len(order), dtype=np.int64)[:, None]
+    by_place = np.maximum.accumulate(np.where(shared[:, None] < reach, place, 0), axis=0)
+    out = np.empty_like(by_place)
+    out[order] = by_place
+    return out
+
+
+def repeated_windows(data: np.ndarray, at: np.ndarray, bucket: np.ndarray, off: np.ndarray, n: np.ndarray, depth: int, gram: int = GRAM, cells: int = 1 << 20) -> Arrays:
+    """Row, first and last window of what is repeated in the stretches of whole buckets.
 
-def _windows_of(depth: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for k, th, text, of in zip(frame["k"], frame["th"], frame["t"], frame["runs"]):
-                data = np.frombuffer(_bytes(text), np.uint8)
-                first, last, anchor, n = (np.array([r[c] for r in of], np.int64) for c in ("first", "last", "anchor", "n"))
-                at, digest = window_digests(data, first, last, depth)
-                which = np.repeat(np.arange(len(of)), last - first + 1)
-                digest = _mix(digest + anchor.view(U64)[which] * U64(BASE))
-                yield pd.DataFrame({"k": k, "th": th, "at": at.astype(np.int32), "n": np.minimum(n, 2)[which].astype(np.int32), "digest": digest.view(np.int64)})
+    Stretches (bytes from ``at`` to the next) differ within their bucket, and ``bucket`` rises.
+    """
+    anchor, rows, wide = at[:-1] + off, len(off), depth - gram + 1
+    right = radix_order(context(data, anchor, at[1:] - anchor, depth), bucket)
+    left = radix_order(context(data[::-1], len(data) - anchor, off, wide - 1), bucket)
+    found = []
+    step = max(1, cells // max(1, rows))
+    for lo in range(0, wide, step):  # some of the anchor's places at a time
+        o = np.arange(lo, min(wide, lo + step))
+        own = (o <= off[:, None]) & (o > (off - n)[:, None])
+        key = (o * rows + classes(*left, o)) * rows + classes(*right, depth - o)
+        _, which, count = np.unique(key[own], return_inverse=True, return_counts=True)
+        twice = np.zeros((rows, len(o) + 2), np.int8)
+        twice[:, 1:-1][own] = count[which] > 1
+        turn = np.diff(twice, axis=1)
+        row, begin = np.nonzero(turn == 1)
+        end = np.nonzero(turn == -1)[1]
+        found.append((row, off[row] - (lo + end - 1), off[row] - (lo + begin)))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+SPAN = "i0 long, i1 long, start int, stop int"
+
+
+def _sorted_buckets(depth: int, chunk: int = 8192):
+    """Spans of the repeated windows; rows come by bucket (h), and no bucket is cut."""
+
+    def spans(part: pa.Table) -> pa.RecordBatch | None:
+        h, cnt = part["h"].to_numpy(), part["cnt"].to_numpy()
+        part = part.combine_chunks()
+        edge = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        many = np.repeat(np.diff(np.append(edge, len(h))) > 1, np.diff(np.append(edge, len(h))))
+        if not many.any():
+            return None
+        part = part.filter(pa.array(many)).combine_chunks()
+        h, cnt, off, n, first, i0, i1 = (part[c].to_numpy() for c in ("h", "cnt", "off", "n", "first", "i0", "i1"))
+        data, at = utf8(part["b"].chunk(0))
+        bucket = np.cumsum(np.append(False, h[1:] != h[:-1]))
+        row, a, z = repeated_windows(data, at, bucket, off.astype(np.int64), n.astype(np.int64), depth)
+        one = cnt[row] == 1  # stretches found twice are repeated as a whole
+        row, a, z = row[one], a[one], z[one]
+        out = [i0[row], i1[row], (first[row] + a).astype(np.int32), (first[row] + z + depth).astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in out], ["i0", "i1", "start", "stop"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            held.append(batch)
+            rows += len(batch)
+            if rows < chunk:
+                continue
+            part = pa.Table.from_batches(held)
+            h = part["h"].to_numpy()
+            cut = int(np.flatnonzero(h != h[-1])[-1]) + 1 if h[0] != h[-1] else 0  # the last bucket may go on
+            if cut and (out := spans(part.slice(0, cut))) is not None:
+                yield out
+            held = part.slice(cut).to_batches()
+            rows = len(part) - cut
+        if rows and (out := spans(pa.Table.from_batches(held))) is not None:
+            yield out
 
     return run
 
 
-def repeated_spans(docs: DataFrame, depth: int, gram: int = GRAM) -> DataFrame:
-    """(k, th, spans): ranges whose union is what is repeated; docs has k, th, t, and
-    th, a 64-bit digest of t, tells the rows of one key apart."""
-    kind = docs.schema["k"].dataType.simpleString()
-    rows = docs.mapInPandas(_runs_of(depth, gram), f"k {kind}, th long, first int, last int, off short, anchor long, stretch long, " + ", ".join(f"c{j} int" for j in range(PARTS)))
-    rows = stage_table(rows, "runs")
-    anchors = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("stretch").alias("s0"), F.max("stretch").alias("s1"))
-    anchors = stage_table(anchors.filter("n > 1").selectExpr("anchor", "s0 <> s1 AS mixed"), "anchors")
-    release(docs.sparkSession)
-    shared = stage_table(rows.join(anchors, "anchor"), "shared")
+def parts(depth: int, gram: int = GRAM) -> list[tuple[int, int]]:
+    """Least and greatest place of the anchor in the windows of each part."""
+    edge = [j * (depth - gram + 1) // PARTS for j in range(PARTS + 1)]
+    return [(edge[j], edge[j + 1] - 1) for j in range(PARTS) if edge[j] < edge[j + 1]]
+
+
+def hot_spans(stretches: DataFrame, depth: int) -> DataFrame:
+    """Spans of the repeated windows of buckets of any size: two passes as aggregations."""
+    side = [F.struct(F.lit(near).alias("near"), F.lit(far).alias("far"), F.greatest(F.lit(near), F.col("off") - F.col("n") + 1).alias("a"), F.least(F.lit(far), F.col("off")).alias("z")) for near, far in parts(depth)]
+    sides = stretches.withColumn("s", F.explode(F.filter(F.array(*side), lambda s: s["a"] <= s["z"]))).select("*", "s.*").drop("s")
+    sides = stage_table(sides.withColumn("core", F.expr(f"substring(b, off - near + 1, {depth} - (far - near))")), "sides")
+    cores = sides.groupBy("h", "near", "core").count().filter("count > 1").select("h", "near", "core", F.monotonically_increasing_id().alias("c"))
+    windows = sides.join(stage_table(cores, "cores"), ["h", "near", "core"]).drop("core")
+    windows = windows.withColumn("o", F.explode(F.sequence("a", "z")))
+    windows = windows.withColumn("rest", F.expr(f"concat(substring(b, off - o + 1, o - near), substring(b, off - far + {depth} + 1, far - o))"))
+    windows = stage_table(windows.select("c", "o", "rest", "cnt", "i0", "i1", (F.col("first") + F.col("off") - F.col("o")).alias("start")), "windows")
+    twice = windows.groupBy("c", "o", "rest").count().filter("count > 1").drop("count")
+    return windows.filter("cnt = 1").join(twice, ["c", "o", "rest"]).select("i0", "i1", "start", (F.col("start") + depth).alias("stop"))
+
+
+def repeated_spans(docs: DataFrame, depth: int, limit: int = 2048, piece: int = 1 << 20) -> DataFrame:
+    """(i0, i1, spans): ranges whose union is what is repeated in the texts of that
+    content; docs has i0, i1, the name of the content, and t, the text."""
+    rows = stage_table(docs.mapInArrow(_runs_of(depth, piece), RUN), "runs")
+    anchors = rows.groupBy("h").count().filter("count > 1").select("h")
+    shared = rows.join(anchors, "h").dropDuplicates(["i0", "i1", "first"])  # rows of equal content are one here
+    shared = stage_table(shared.select("i0", "i1", "first", "n", "off", "h", "x"), "shared")
     drop_stage(rows)
-    drop_stage(anchors)
-    span = (F.col("first").alias("start"), (F.col("last") + depth).alias("stop"))
-    whole = shared.filter("NOT mixed").select("k", "th", *span)
-    mixed = shared.filter("mixed").drop("mixed")
-    of = F.struct("k", "th", "first", "last", "off", *(f"c{j}" for j in range(PARTS)))
-    stretches = mixed.groupBy("anchor", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min(of).alias("r"))
-    stretches = stage_table(stretches.select("anchor", "stretch", "n", "r.*"), "stretches")
-    again = stretches.filter("n > 1").select("anchor", "stretch")
-    more = mixed.join(again, ["anchor", "stretch"]).select("k", "th", *span)
-    place = F.col("first") + F.col("off").cast("int")
-    side = [F.struct(F.lit(j).alias("side"), F.col(f"c{j}").alias("digest"), F.greatest("first", place - far).alias("a"), F.least("last", place - near).alias("b")) for j, (near, far) in enumerate(parts(depth, gram))]
-    sides = stretches.select("k", "th", "anchor", "n", F.explode(F.array(*side)).alias("h")).select("k", "th", "anchor", "n", "h.*").filter("a <= b")
-    twice = stage_table(sides.groupBy("anchor", "side", "digest").agg(F.sum("n").alias("m")).filter("m > 1").drop("m"), "cores")
-    opened = sides.join(twice, ["anchor", "side", "digest"])
-    opened = opened.groupBy("k", "th").agg(F.collect_list(F.struct(F.col("a").alias("first"), F.col("b").alias("last"), "anchor", "n")).alias("runs"))
-    opened = stage_table(opened.select(F.col("k").alias("ok"), F.col("th").alias("oth"), "runs"), "opened")
-    release(docs.sparkSession)
-    windows = docs.join(opened, F.col("k").eqNullSafe(F.col("ok")) & (F.col("th") == F.col("oth"))).select("k", "th", "t", "runs")
-    windows = stage_table(windows.mapInPandas(_windows_of(depth), f"k {kind}, th long, at int, n int, digest long"), "windows")
-    release(docs.sparkSession)
-    equal = stage_table(windows.groupBy("digest").agg(F.sum("n").alias("n")).filter("n > 1").select("digest"), "equal")
-    release(docs.sparkSession)
-    single = windows.filter("n = 1").join(equal, "digest").select("k", "th", F.col("at").alias("start"), (F.col("at") + depth).alias("stop"))
-    spans = whole.unionByName(more).unionByName(single).groupBy("k", "th").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
-    spans = stage_table(spans, "spans")
-    for done in (shared, stretches, twice, opened, windows, equal):
+    of = shared.groupBy("i0", "i1").agg(F.sort_array(F.collect_list(F.struct("first", "n", "off", "h", "x"))).alias("runs"))
+    opened = docs.join(of, ["i0", "i1"]).select("i0", "i1", "t", "runs").mapInArrow(_stretches_of(depth), STRETCH)
+    # where cnt is 1, the least of each of these is that of the one run
+    least = [F.min(c).alias(c) for c in ("i0", "i1", "first")]
+    stretches = stage_table(opened.groupBy("h", "off", "n", "x", "b").agg(F.count(F.lit(1)).alias("cnt"), *least), "stretches")
+    keys = ["h", "off", "n", "x"]
+    many = stretches.filter("cnt > 1").select(*keys).distinct()
+    whole = shared.join(many, keys).select("i0", "i1", "first", "n")
+    clash = stretches.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
+    clash = stage_table(stretches.filter("cnt = 1").join(clash, keys).select("i0", "i1", "first"), "clashes")
+    if not clash.isEmpty():  # other bytes of the same hash: their windows are judged below
+        whole = whole.join(clash, ["i0", "i1", "first"], "left_anti")
+    found = stage_table(whole.select("i0", "i1", F.col("first").alias("start"), (F.col("first") + F.col("n") - 1 + depth).alias("stop")), "whole")
+    hot = stage_table(stretches.groupBy("h").count().filter(F.col("count") > limit).select("h"), "hot")
+    cool = stretches
+    if not hot.isEmpty():
+        found = found.unionByName(stage_table(hot_spans(stretches.join(hot, "h"), depth), "hot-spans"))
+        cool = stretches.join(hot, "h", "left_anti")
+    cool = cool.select("h", "off", "n", "cnt", "i0", "i1", "first", "b").repartition("h").sortWithinPartitions("h")
+    found = found.unionByName(stage_table(cool.mapInArrow(_sorted_buckets(depth), SPAN), "sorted"))
+    spans = stage_table(found.groupBy("i0", "i1").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans")), "spans")
+    for done in (shared, stretches):
         drop_stage(done)
-    release(docs.sparkSession)
     return spans
 
 
-def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        rows = []
-        for k, text, spans in zip(frame["k"], frame["t"], frame["spans"]):
-            raw = _bytes(text)
-            gone = joined_spans([(s["start"], s["stop"]) for s in spans] if spans is not None else [])
-            kept, at = [], 0
-            for a, b in gone:
-                kept.append(raw[at:a])
-                at = b
-            kept.append(raw[at:])
-            rest = b"".join(kept)
-            rows.append((k, len(raw), len(raw) - len(rest), len(gone), hashlib.sha256(rest).hexdigest(), rest))
-        yield pd.DataFrame(rows, columns=["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = 200) -> DataFrame:
+def joined_spans(start: np.ndarray, stop: np.ndarray) -> Arrays:
+    """Union of half-open ranges that rise by start; touching ones join."""
+    far = np.maximum.accumulate(stop) if len(stop) else stop
+    new = np.ones(len(start), bool)
+    new[1:] = start[1:] > far[:-1]
+    first = np.flatnonzero(new)
+    return start[first], far[np.append(first[1:], len(start)) - 1] if len(start) else far
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, at = utf8(batch.column("t"))
+        lists = batch.column("spans")
+        of = lists.flatten()
+        doc = np.repeat(np.arange(len(batch)), lists.value_lengths().fill_null(0).to_numpy())
+        # a place between any two texts keeps their spans apart
+        base = at[:-1] + np.arange(len(batch))
+        start, stop = joined_spans(base[doc] + of.field("start").to_numpy(), base[doc] + of.field("stop").to_numpy())
+        owner = np.searchsorted(base, start, "right") - 1
+        n = np.bincount(owner, minlength=len(batch))
+        gone = np.bincount(owner, weights=stop - start, minlength=len(batch)).astype(np.int64)
+        edge = np.concatenate([[0], np.cumsum(n)]).tolist()
+        start, stop = (start - owner).tolist(), (stop - owner).tolist()
+        kept = []
+        for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+            whole = zip([a, *stop[edge[i]:edge[i + 1]]], [*start[edge[i]:edge[i + 1]], b])
+            kept.append(b"".join(data[p:q].tobytes() for p, q in whole))
+        columns = [batch.column("k"), pa.array(np.diff(at)), pa.array(gone), pa.array(n.astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array(kept, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = 200, limit: int = 2048, piece: int = 1 << 20) -> DataFrame:
     """Every row with the bytes that lie in no ``depth``-byte string found twice.
 
-    Matches lie within documents, may overlap, and are judged on the input.  Null
-    texts are empty; texts shorter than ``depth`` bytes lose nothing; rows with the
-    same key and text are documents of their own, and so lose all that they share.
-    Null keys stay null; an empty table gives no rows.
+    ``depth`` is at least 33.  Matches lie within documents, may overlap, and are
+    judged on the input.  Null texts are empty; texts shorter than ``depth`` bytes lose
+    nothing; rows with the same text are documents of their own, whatever their keys,
+    and so lose all that they share.  Null keys stay null; a text of any length is read
+    in parts of ``piece`` bytes; other columns are left out, so their names cannot clash; an
+    empty table gives no rows.
     """
+    i0, i1 = content_id(text)
+    own = docs.select(F.col(key).alias("k"), i0.alias("i0"), i1.alias("i1"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    spans = repeated_spans(own.drop("k"), depth, limit, piece)
     kind = docs.schema[key].dataType.simpleString()
-    own = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
-    spans = repeated_spans(own, depth).select(F.col("k").alias("sk"), F.col("th").alias("sth"), "spans")
-    joined = own.join(spans, F.col("k").eqNullSafe(F.col("sk")) & (F.col("th") == F.col("sth")), "left").select("k", "t", "spans")
-    out = joined.mapInPandas(_cut, f"k {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = own.join(spans, ["i0", "i1"], "left").select("k", "t", "spans")
+    out = out.mapInArrow(_cut, f"k {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.withColumnRenamed("k", key)
