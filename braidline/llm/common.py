@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -90,6 +90,32 @@ def portions(at: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         a = b
 
 
+def keyed(docs: DataFrame, key: str, text: str, of: Callable[[pa.RecordBatch], list[pa.Array]], columns: str, more: dict[str, Column] | None = None) -> DataFrame:
+    """(k, more, columns) of every row, the columns made from Arrow batches with k, t and ``more``.
+
+    Keys and ``more`` go through as they are, so null and wide ones stay exact.
+    """
+    more = more or {}
+    own = docs.select(F.col(key).alias("k"), *(c.alias(n) for n, c in more.items()), F.col(text).alias("t"))
+    held = ["k", *more]
+    names = [*held, *(c.split()[0] for c in columns.split(", "))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in held), *of(batch)], names)
+
+    schema = ", ".join(f"{c} {own.schema[c].dataType.simpleString()}" for c in held)
+    return own.mapInArrow(run, f"{schema}, {columns}")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while f"_{name}" in taken:
+        name += "_"
+    return f"_{name}"
+
+
 def content_id(text: str | Column) -> tuple[Column, Column]:
     """The first 128 bits of a text's SHA-256 as two longs: equal for equal texts only."""
     sha = F.sha2(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), 256)

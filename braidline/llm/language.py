@@ -7,15 +7,14 @@ least weighted loss wins, and a text whose two best are close is ambiguous.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc
+from .common import id_crc, keyed
 
 HASH_BITS = 15
 ORDERS = (1, 2, 3, 4)
@@ -124,11 +123,11 @@ def train(rows: list[tuple[str, str]], epochs: int = 8, rate: float = 4.0, decay
     return Model(languages, code, w.astype(np.float32), bias, trust / trust.mean())
 
 
-def training_rows(docs: DataFrame, key: str, text: str, lang: str, per_language: int, chars: int) -> list[tuple[str, str]]:
+def training_rows(docs: DataFrame, key: str, text: str, lang: str, per_language: int, chars: int, languages: int) -> list[tuple[str, str]]:
     """At most ``per_language`` rows of each language (least hash first) outside the held-out part.
 
     What is collected is bounded, whatever the table: about twice ``per_language``
-    rows of each of at most 1000 languages, and of a text at most ``chars``
+    rows of each of at most ``languages`` languages (the first by name), and of a text at most ``chars``
     characters from a place that its hash chooses.
     """
     usable = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (id_crc(key) % 3 != 1) & (F.length(text) > 0))
@@ -136,7 +135,7 @@ def training_rows(docs: DataFrame, key: str, text: str, lang: str, per_language:
     h = F.pmod(F.xxhash64(key, text), F.lit(SPAN))
     part = usable.select(h.alias("h"), F.col(lang).alias("l"), F.substring(F.col(text), place, F.lit(chars)).alias("t"))
     # Rows below a cut that about twice the wanted number stay under, so that no task sends more than its share.
-    cuts = [(r["l"], max(1, min(SPAN, SPAN * 2 * per_language // r["count"]))) for r in part.groupBy("l").count().orderBy("l").limit(1000).collect()]
+    cuts = [(r["l"], max(1, min(SPAN, SPAN * 2 * per_language // r["count"]))) for r in part.groupBy("l").count().orderBy("l").limit(languages).collect()]
     if not cuts:
         return []
     below = F.lit(False)
@@ -150,25 +149,24 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 600, chars: int = 2000) -> DataFrame:
+def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 600, chars: int = 2000, languages: int = 1000) -> DataFrame:
     """Language of every whole text, learned from the rows that are not held out.
 
     ``und`` with score 0 for null texts and for those without a letter, and for all
     if there is nothing to learn from.  A single language learned is predicted
-    always.  Repeated rows give a row each; null keys stay null (and are not held
-    out); an empty table gives no rows.
+    always.  Of languages with equal losses the first by name is predicted.  Texts of
+    any length are read whole, a text at a time.  Repeated rows give a row each; null
+    keys stay null (and are not held out); other columns are left out; an empty table
+    gives no rows.
     """
     spark = docs.sparkSession
-    rows = training_rows(docs, key, text, lang, per_language, chars)
+    rows = training_rows(docs, key, text, lang, per_language, chars, languages)
     model = spark.sparkContext.broadcast(train(rows) if rows else None)  # of a fixed size
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(batch: pa.RecordBatch) -> list[pa.Array]:
         m = model.value
-        for frame in frames:
-            got = [m.decide(m.margins(t)) if m is not None and t is not None and has_letter(t) else ("und", 0.0, False) for t in frame["t"]]
-            yield pd.DataFrame({"k": frame["k"], "held_out": frame["held_out"], "lang_pred": [g[0] for g in got], "score": [g[1] for g in got], "ambiguous": [g[2] for g in got]})
-
-    kind = docs.schema[key].dataType.simpleString()
-    own = docs.select(F.col(key).alias("k"), F.coalesce(id_crc(key) % 3 == 1, F.lit(False)).alias("held_out"), F.col(text).alias("t"))
-    out = own.mapInPandas(run, f"k {kind}, held_out boolean, lang_pred string, score double, ambiguous boolean")
-    return out.withColumnRenamed("k", key)
+        got = [m.decide(m.margins(t)) if m is not None and t is not None and has_letter(t) else ("und", 0.0, False) for t in batch.column("t").to_pylist()]
+        return [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+
+    held_out = F.coalesce(id_crc(key) % 3 == 1, F.lit(False))
+    return keyed(docs, key, text, of, "lang_pred string, score double, ambiguous boolean", {"held_out": held_out}).withColumnRenamed("k", key)

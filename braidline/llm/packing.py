@@ -8,14 +8,14 @@ from collections.abc import Callable, Iterator
 from heapq import nsmallest
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage_table
 from .tokens import WordEncoder, batches
 
-PIECES = "row_key long, piece int, start long, length long, ids_crc32 long"
+PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
 def pack(lengths: list[int], capacity: int, partners: int = 24, patience: int = 12) -> list[list[int]]:
@@ -103,45 +103,52 @@ def token_pieces(docs: DataFrame, key: str, text: str, vocabulary: str, capacity
     """Pieces of at most ``capacity`` tokens of every row; null text is empty, and
     every document ends with ``end_id``, so no document is without a piece."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["row_key", *(x.split()[0] for x in PIECES.split(", "))]
+
+    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(vocabulary)
-        for frame in frames:
-            texts = ["" if t is None else t for t in frame["t"]]
-            keys = frame["k"].to_list()
-            rows: list[tuple[int, int, int, int, int]] = []
+        for batch in batches_:
+            texts = ["" if t is None else t for t in batch.column("t").to_pylist()]
+            of, rows = [], []
             for a, b in batches(texts):
-                for k, ids in zip(keys[a:b], encoder.ids(texts[a:b])):
+                for i, ids in enumerate(encoder.ids(texts[a:b]), a):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for p, s in enumerate(range(0, len(ids), capacity)):
                         part = ids[s:s + capacity]
-                        rows.append((k, p, s, len(part), zlib.crc32(part.tobytes())))
-            yield pd.DataFrame(rows, columns=["row_key", "piece", "start", "length", "ids_crc32"])
-
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, PIECES)
-
+                        of.append(i)
+                        rows.append((p, s, len(part), zlib.crc32(part.tobytes())))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch.column("k").take(pa.array(of)), *columns], names)
 
-PACKED = PIECES + ", sequence_id long, offset long, fill long"
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"row_key {kind}, {PIECES}")
 
 
-def _placer(turn: int, capacity: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _placer(turn: int, capacity: int) -> Callable[[pa.Table], pa.Table]:
     """Packs one group of one round; sequence numbers hold round, group and bin."""
-    names = [x.split()[0] for x in PACKED.split(", ")]
 
-    def place(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("tie", kind="stable").reset_index(drop=True)
-        lengths = frame["length"].to_list()
+    def place(group: pa.Table) -> pa.Table:
+        group = group.sort_by("tie")
+        lengths = group["length"].to_pylist()
         sequence, offset, fill = (np.zeros(len(lengths), np.int64) for _ in range(3))
-        base = (turn << 56) | (int(frame["g"].iat[0]) << 20)
+        base = (turn << 56) | (group["g"][0].as_py() << 20)
         for b, items in enumerate(pack(lengths, capacity)):
             size = np.array([lengths[i] for i in items])
             sequence[items] = base + b
             offset[items] = np.cumsum(size) - size
             fill[items] = size.sum()
-        return frame.assign(sequence_id=sequence, offset=offset, fill=fill)[names + ["tie"]]
+        group = group.drop_columns(["g", *(c for c in ADDED if c in group.column_names)])
+        for name, values in zip(ADDED, (sequence, offset, fill)):
+            group = group.append_column(name, pa.array(values))
+        return group
 
     return place
 
 
+ADDED = ["sequence_id", "offset", "fill"]
+
+
 def pack_pieces(pieces: DataFrame, capacity: int, group_size: int = 2048, close_at: float = 0.995, rounds: int = 5) -> DataFrame:
     """Give every piece a sequence and its place in it.
 
@@ -154,18 +161,18 @@ def pack_pieces(pieces: DataFrame, capacity: int, group_size: int = 2048, close_
     todo = stage_table(pieces.withColumn("tie", F.monotonically_increasing_id()), "pieces")
     n = todo.count()
     done: list[DataFrame] = []
-    names = [x.split()[0] for x in PIECES.split(", ")]
+    names = todo.columns
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in todo.schema) + "".join(f", {c} long" for c in ADDED)
     for turn in range(rounds):
         groups = max(1, -(-n // group_size))
-
         dealt = todo.withColumn("g", F.pmod(F.xxhash64("tie", F.lit(turn)), F.lit(groups)))
-        packed = stage_table(dealt.groupBy("g").applyInPandas(_placer(turn, capacity), PACKED + ", tie long"), f"packed{turn}")
+        packed = stage_table(dealt.groupBy("g").applyInArrow(_placer(turn, capacity), schema), f"packed{turn}")
         if groups == 1 or turn == rounds - 1:
             done.append(packed)
             break
         closed = F.col("fill") >= int(close_at * capacity)
         done.append(packed.filter(closed))
-        todo = packed.filter(~closed).select(*names, "tie")
+        todo = packed.filter(~closed).select(*names)
         n = todo.count()
         if not n:
             break

@@ -1,26 +1,25 @@
 """Operator 7: SimHash near-duplicates by segment-popcount embedding.
 
-A fingerprint's four 16-bit segments are mapped to their bit counts.  Two
-fingerprints that differ in at most two bits lie at a Manhattan distance of at
-most two, and the differing bits lie in one or two segments.  So the grid has a
-cell for every choice of one or two segments: their bit counts, with the bits of
-the other segments, which must be equal.  A fingerprint probes the cells of its
-half of the Manhattan ball around it (the other half probes back), and pairs that
-meet are verified exactly by the bits that differ, inside the join.
+A fingerprint's sixteen segments of four bits are mapped to their bit counts, a
+point of a grid.  A bit that differs moves the point by one step at most, so the
+Manhattan distance of two points is a lower bound of the bits that differ.  Every
+fingerprint goes to its own point and to those one step away: two fingerprints
+meet at some point if and only if their points are at most two steps apart (a
+range join as an equality).  Pairs that meet are verified exactly, by the bits that
+differ, inside the join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import free_name, keyed, stage_table
 from .components import components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -45,40 +44,50 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(k, fp) of every row."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            fp = np.array([fingerprint(t) for t in frame["t"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"k": frame["k"], "fp": fp})
+    def of(batch: pa.RecordBatch) -> list[pa.Array]:
+        return [pa.array(np.array([fingerprint(t) for t in batch.column("t").to_pylist()], np.uint64).view(np.int64))]
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, fp long")
+    return keyed(docs, key, text, of, "fp long")
 
 
-SEGMENTS, BITS = 4, 16
+SEGMENTS = 16
 
 
-def _cell(tag: int, of: tuple[int, ...], step: tuple[int, ...]):
-    """The cell of the segments ``of`` whose bit counts are ``step`` away."""
-    outside = sum(((1 << BITS) - 1) << (BITS * i) for i in range(SEGMENTS) if i not in of)
-    outside -= (outside >> 63) << 64  # as a signed long
-    counts = [F.bit_count(F.shiftrightunsigned("fp", BITS * i).bitwiseAND((1 << BITS) - 1)) + d for i, d in zip(of, step)]
-    packed = counts[0] if len(counts) == 1 else counts[0] * 64 + counts[1]
-    return F.struct((F.lit(tag) * 4096 + packed).cast("int").alias("c"), F.col("fp").bitwiseAND(F.lit(outside)).alias("o"))
+def point(fp: Column) -> Column:
+    """The bit counts of the segments, four bits for each."""
+
+    def half(x: Column) -> Column:
+        pairs = x.bitwiseAND(0x55555555) + F.shiftright(x, 1).bitwiseAND(0x55555555)
+        return pairs.bitwiseAND(0x33333333) + F.shiftright(pairs, 2).bitwiseAND(0x33333333)
+
+    return F.shiftleft(half(F.shiftrightunsigned(fp, 32)), 32).bitwiseOR(half(fp.bitwiseAND(0xFFFFFFFF)))
+
+
+def near_points(at: Column) -> Column:
+    """The point itself and those one step away, within 0 and 4 in each direction."""
+    out = [at]
+    for i in range(SEGMENTS):
+        count = F.shiftright(at, 4 * i).bitwiseAND(15)
+        out += [F.when(count < 4, at + F.lit(1 << 4 * i)), F.when(count > 0, at - F.lit(1 << 4 * i))]
+    return F.array_compact(F.array(*out))
 
 
 def links(nodes: DataFrame, max_bits: int = 2) -> DataFrame:
     """Pairs (a, b), a < b, of distinct fingerprints that differ in 1 to ``max_bits`` (at most 2) bits."""
-    groups = [(i,) for i in range(SEGMENTS)] + list(combinations(range(SEGMENTS), 2))
-    home = [_cell(t, of, (0,) * len(of)) for t, of in enumerate(groups)]
-    probes = []
-    for t, of in enumerate(groups):
-        steps = [(0,), (1,), (2,)] if len(of) == 1 else [(1, 1), (1, -1)]
-        probes += [_cell(t, of, s) for s in steps]
-    at_home = nodes.select(F.col("fp").alias("y"), F.explode(F.array(*home)).alias("cell")).select("y", "cell.c", "cell.o")
-    probing = nodes.select(F.col("fp").alias("x"), F.explode(F.array(*probes)).alias("cell")).select("x", F.col("cell.c").alias("pc"), F.col("cell.o").alias("po"))
-    apart = F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
-    met = probing.join(at_home, (F.col("pc") == F.col("c")) & (F.col("po") == F.col("o")) & (F.col("x") != F.col("y")) & (apart <= max_bits))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    cells = nodes.select("fp", F.explode(near_points(point(F.col("fp")))).alias("cell"))
+    a, b = (cells.select(F.col("fp").alias(name), F.col("cell").alias(f"c{name}")) for name in "ab")
+    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    met = a.join(b, (F.col("ca") == F.col("cb")) & (F.col("a") < F.col("b")) & (apart <= max_bits))
+    return met.select("a", "b").distinct()
+
+
+def grouped(nodes: DataFrame) -> DataFrame:
+    """(fp, component_id): the least ``id`` of the fingerprints that are linked, for nodes (fp, id)."""
+    nodes = stage_table(nodes, "nodes")
+    root = components(stage_table(links(nodes), "links"))
+    rooted = nodes.join(root.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
+    linked = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    return rooted.join(linked, "root").select("fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -86,28 +95,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     Null, empty and wordless texts have fingerprint 0 and are linked like any
     other.  Equal fingerprints collapse to one node before the join, so a group of
-    copies costs no pairs.  Null keys stay null and are never a component's id,
-    unless the component has no other.  An empty table gives no rows.
+    copies costs no pairs; a text of any length is read whole, its hashes as one
+    array.  Null keys stay null and are never a component's id, unless the component
+    has no other.  Other columns are left out; an empty table gives no rows.
     """
     own = stage_table(fingerprints(docs, key, text), "fingerprints")
-    nodes = stage_table(own.groupBy("fp").agg(F.min("k").alias("id")), "nodes")
-    edges = stage_table(links(nodes), "links")
-    root = components(edges)
-    rooted = nodes.join(root.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
-    linked = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    of = rooted.join(linked, "root").select("fp", "component_id")
-    out = own.join(of, "fp")
+    out = own.join(grouped(own.groupBy("fp").agg(F.min("k").alias("id"))), "fp")
     return out.select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of every group of near duplicates, that of the smallest key.
 
-    Rows are told apart by a hash of all their columns, so null and repeated keys
-    are no trouble; of rows that are equal in every column one stays.
+    Rows are told apart by 128 bits of hashes of all their columns, so null and
+    repeated keys are no trouble: a null key comes after all others, and of equal keys
+    the least hash is taken; of rows that are equal in every column one stays.  All
+    columns stay, whatever their names; an empty table gives no rows.
     """
-    marked = docs.withColumn("_mark", F.xxhash64(*docs.columns))
-    group = near_duplicates(marked, "_mark", text).select("_mark", "component_id")
-    first = group.join(marked.select("_mark", key), "_mark").groupBy("component_id").agg(F.min(F.struct(F.col(key), F.col("_mark"))).alias("r"))
-    first = stage_table(first.select(F.col("r._mark").alias("_mark")), "kept")
-    return marked.join(first, "_mark", "left_semi").dropDuplicates(["_mark"]).drop("_mark")
+    mark, order = free_name(docs, "mark"), free_name(docs, "order")
+    marked = docs.withColumn(mark, F.struct(F.xxhash64(*docs.columns).alias("x"), F.xxhash64(F.lit(1), *docs.columns).alias("y")))
+    place = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(mark).alias("mark"))
+    own = stage_table(fingerprints(marked.select(place.alias(order), text), order, text), "fingerprints")
+    first = grouped(own.groupBy("fp").agg(F.min("k").alias("id"))).select(F.col("component_id.mark").alias(mark)).distinct()
+    return marked.join(stage_table(first, "kept"), mark, "left_semi").dropDuplicates([mark]).drop(mark)

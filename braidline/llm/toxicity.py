@@ -11,7 +11,7 @@ text's score is that of its worst window.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from zlib import crc32
 
 import numpy as np
@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc
+from .common import id_crc, keyed
+from .tokens import batches
 
 WINDOW, STRIDE = 64, 48
 WORD, CHAR, HIDDEN, ATTEND = 12, 12, 12, 12
@@ -318,27 +319,23 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     The fit takes at most ``per_class`` rows of each label, of ``words`` words or
     fewer, and a fourth as many of any length up to 5000 words to calibrate.  Null and empty texts are
     scored as a window without words; without labelled rows of both kinds every
-    score is 0.  Repeated rows give a row each; null keys stay null (and are not held
-    out); an empty table gives no rows.
+    score is 0.  A text's score is its worst window's, so windows of equal scores make
+    no difference; texts of any length are cut into windows as a whole.  Repeated rows
+    give a row each; null keys stay null (and are not held out); other columns are left
+    out; an empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = labelled_rows(docs, labels, key, text, dict(enumerate(per_class)), words, False)
     whole = labelled_rows(docs, labels, key, text, {y: n // 4 for y, n in enumerate(per_class)}, 5000, True)
     model = spark.sparkContext.broadcast(fit(rows, whole) if len({y for _, y in rows}) == 2 else None)  # of a bounded size
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = ["" if t is None else t for t in frame["t"]]
-            score = np.zeros(len(texts))
-            if model.value is not None:
-                start = size = 0
-                for i, t in enumerate(texts):
-                    size += len(t) + 1
-                    if size > 1_500_000 or i + 1 == len(texts):
-                        score[start:i + 1] = text_scores(model.value, texts[start:i + 1])
-                        start, size = i + 1, 0
-            yield pd.DataFrame({"k": frame["k"], "held_out": frame["held_out"], "score": score, "predicted": (score >= threshold).astype(np.int32)})
-
-    kind = docs.schema[key].dataType.simpleString()
-    own = docs.select(F.col(key).alias("k"), F.coalesce(id_crc(key) % 4 == 2, F.lit(False)).alias("held_out"), F.col(text).alias("t"))
-    return own.mapInPandas(run, f"k {kind}, held_out boolean, score double, predicted int").withColumnRenamed("k", key)
+    def of(batch: pa.RecordBatch) -> list[pa.Array]:
+        texts = ["" if t is None else t for t in batch.column("t").to_pylist()]
+        score = np.zeros(len(texts))
+        if model.value is not None:
+            for a, b in batches(texts, 1_500_000):
+                score[a:b] = text_scores(model.value, texts[a:b])
+        return [pa.array(score), pa.array((score >= threshold).astype(np.int32))]
+
+    held_out = F.coalesce(id_crc(key) % 4 == 2, F.lit(False))
+    return keyed(docs, key, text, of, "score double, predicted int", {"held_out": held_out}).withColumnRenamed("k", key)
