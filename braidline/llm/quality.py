@@ -34,10 +34,11 @@ def _behind(array: str, by: int) -> Column:
     return F.slice(array, by + 1, F.greatest(F.size(array) - by, F.lit(0)))
 
 
-def gram_buckets(word: Column, buckets: int) -> list[Column]:
-    """Buckets of a word's n-grams: all of it, its last and its first three characters."""
-    grams = (word, F.right(word, F.lit(3)), F.left(word, F.lit(3)))
-    return [F.pmod(F.xxhash64(g, F.lit(n)), F.lit(buckets)).cast("int") for n, g in enumerate(grams)]
+def gram_buckets(word: Column, after: Column, buckets: int) -> list[Column]:
+    """Buckets of the n-grams at a word: it alone, it and the next word (null: the text's
+    end), and the characters at their seam, two of each."""
+    grams = ((word,), (word, after), (F.right(word, F.lit(2)), F.left(after, F.lit(2))))
+    return [F.pmod(F.xxhash64(*g, F.lit(n)), F.lit(buckets)).cast("int") for n, g in enumerate(grams)]
 
 
 #: Bits of a place in a packed window; longer texts are sorted as pairs.
@@ -85,7 +86,8 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, key: str, text: str, buc
     """(bucket, weight) of every bucket that the corpus fills; ``trusted`` holds a bounded number of keys."""
     ids = trusted.select(F.col(key).alias("k"), F.lit(1).alias("good")).distinct()
     frame = with_words(docs, key, text).join(F.broadcast(ids), "k", "left")
-    grams = frame.select("good", F.explode("w").alias("x")).select("good", F.explode(F.array(*gram_buckets(F.col("x"), buckets))).alias("bucket"))
+    pairs = frame.select("good", F.explode(F.arrays_zip(F.col("w").alias("x"), _behind("w", 1).alias("y"))).alias("p"))
+    grams = pairs.select("good", F.explode(F.array(*gram_buckets(F.col("p.x"), F.col("p.y"), buckets))).alias("bucket"))
     counts = stage_table(grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("good")), "buckets")
     total = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("raw"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")).first()
     if not total["good"]:  # no trusted text: no evidence either way
@@ -99,15 +101,17 @@ def trusted_sample(labels: DataFrame, key: str = "doc_id", most: int = 20_000) -
     return labels.filter("quality = 1").select(key).filter(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(most)
 
 
-def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS, prior: float = 2.0, least: float = 0.1, threshold: float = -0.45, carry: bool = False) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS, prior: float = 2.0, least: float = 0.1, threshold: float = -0.25, carry: bool = False) -> DataFrame:
     """Counts, score and verdict of every row of ``docs``, and with ``carry`` the row.
 
     The trusted multinomial is fitted on at most 20,000 labelled rows (a parameter
     of ``trusted_sample``); the raw one on all rows.  Each bucket's trusted count and
     what the raw rate would make it get ``prior`` more, so a bucket of which little
-    is known weighs little, and no ratio is taken as less than ``least``.  Null and empty texts have no words, score 0 and fail
-    the base rules; without labelled rows all scores are 0; repeated rows give a
-    row each, null keys stay null; an empty table gives no rows.
+    is known weighs little, and no ratio is taken as less than ``least``.  Null and
+    empty texts have no words, score 0 and fail the base rules; a score equal to the
+    threshold is kept; texts of any length count as a whole; without labelled rows all
+    scores are 0; repeated rows give a row each, null keys stay null, and columns of
+    any name go through ``carry`` as one; an empty table gives no rows.
     """
     weights = bucket_weights(docs, trusted_sample(labels, key), key, text, buckets, prior, least)
     # One row with as many entries as there are buckets, whatever the corpus.
@@ -117,12 +121,11 @@ def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     frame = with_words(docs, key, text, F.struct(*docs.columns).alias("row")) if carry else with_words(docs, key, text)
     frame = base_counts(frame).drop("t").withColumn("table", one.scalar())
 
-    def add(total: Column, word: Column) -> Column:
-        for b in gram_buckets(word, buckets):
-            total = total + F.get("table", b)
-        return total
+    def weight(word: Column, after: Column) -> Column:
+        one, two, seam = (F.get("table", b) for b in gram_buckets(word, after, buckets))
+        return one + two + seam
 
-    total = F.aggregate("w", F.lit(0.0), add)
+    total = F.aggregate(F.zip_with("w", _behind("w", 1), weight), F.lit(0.0), lambda total, x: total + x)
     frame = frame.withColumn("score", F.coalesce(total / F.nullif(3 * F.size("w"), F.lit(0)), F.lit(0.0)))
     return frame.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
