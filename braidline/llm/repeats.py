@@ -274,17 +274,19 @@ def repeated_spans(docs: DataFrame, depth: int, limit: int = 2048, piece: int =
     """(i0, i1, spans): ranges whose union is what is repeated in the texts of that
     content; docs has i0, i1, the name of the content, and t, the text."""
     rows = stage_table(docs.mapInArrow(_runs_of(depth, piece), RUN), "runs")
-    anchors = rows.groupBy("h").count().filter("count > 1").select("h")
+    # a table, so that the join reads two plain exchanges and a bucket of many runs can be split
+    anchors = stage_table(rows.groupBy("h").count().filter("count > 1").select("h"), "anchors")
     shared = rows.join(anchors, "h").dropDuplicates(["i0", "i1", "first"])  # rows of equal content are one here
     shared = stage_table(shared.select("i0", "i1", "first", "n", "off", "h", "x"), "shared")
     drop_stage(rows)
+    drop_stage(anchors)
     of = shared.groupBy("i0", "i1").agg(F.sort_array(F.collect_list(F.struct("first", "n", "off", "h", "x"))).alias("runs"))
     opened = docs.join(of, ["i0", "i1"]).select("i0", "i1", "t", "runs").mapInArrow(_stretches_of(depth), STRETCH)
     # where cnt is 1, the least of each of these is that of the one run
     least = [F.min(c).alias(c) for c in ("i0", "i1", "first")]
     stretches = stage_table(opened.groupBy("h", "off", "n", "x", "b").agg(F.count(F.lit(1)).alias("cnt"), *least), "stretches")
     keys = ["h", "off", "n", "x"]
-    many = stretches.filter("cnt > 1").select(*keys).distinct()
+    many = stage_table(stretches.filter("cnt > 1").select(*keys).distinct(), "many")
     whole = shared.join(many, keys).select("i0", "i1", "first", "n")
     clash = stretches.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
     clash = stage_table(stretches.filter("cnt = 1").join(clash, keys).select("i0", "i1", "first"), "clashes")
