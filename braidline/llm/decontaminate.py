@@ -12,10 +12,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from .common import keyed, stage_table
 
 #: Odd multipliers of the q-gram hash.
 FACTOR, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -51,25 +53,35 @@ def edit_budget(length: int, q: int, rate: float) -> int:
     return max(0, min(int(rate * length), (length - q) // q))
 
 
-def banded_distance(item: np.ndarray, region: np.ndarray, budget: int) -> tuple[int, int] | None:
-    """Least edits of the whole item against any part of the region, and where that
-    part ends, if within the budget; the part starts anywhere (semi-global).
+def banded_distance(item: np.ndarray, region: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int] | None:
+    """Least edits of the whole item against a part of the region, and where that
+    part ends, if within the budget; among equals the first end.
 
-    One row of the alignment at a time over the region, which is a band of the
-    item's length and the budget on both sides.
+    The part begins at one of the diagonals ``low`` to ``high`` (place in the region
+    less place in the item), and only these and ``budget`` more to both sides are
+    computed, a row of the band for each character of the item.
     """
-    n = len(region)
-    row = np.zeros(n + 1, np.int32)
-    steps = np.arange(n + 1, dtype=np.int32)
-    for i, c in enumerate(item, 1):
-        low = np.empty(n + 1, np.int32)
-        low[0] = i
-        low[1:] = np.minimum(row[:-1] + (region != c), row[1:] + 1)
-        row = np.minimum.accumulate(low - steps) + steps
+    low, high = low - budget, high + budget
+    wide = high - low + 1
+    far = budget + 1  # as good as any more
+    padded = np.full(len(item) + wide, 0xFFFFFFFF, np.uint32)  # place p of the region at p - low
+    a, b = max(0, low), min(len(region), low + len(padded))
+    if a < b:
+        padded[a - low:b - low] = region[a:b]
+    steps = np.arange(wide, dtype=np.int32)
+    row = np.where((steps + low >= 0) & (steps + low <= len(region)), 0, far).astype(np.int32)
+    for i, c in enumerate(item):
+        new = row + (padded[i:i + wide] != c)  # the next characters of both
+        new[:-1] = np.minimum(new[:-1], row[1:] + 1)  # the item's only
+        row = np.minimum.accumulate(new - steps) + steps  # the region's only
+        if i + 1 + low < 0:  # before the region
+            row[:-(i + 1 + low)] = far
+        if i + 1 + high > len(region):  # behind it
+            row[max(0, len(region) - i - low):] = far
         if row.min() > budget:
             return None
     end = int(row.argmin())
-    return int(row[end]), end
+    return int(row[end]), end + low + len(item)
 
 
 class Index:
@@ -139,15 +151,13 @@ class Index:
                 best = found.get(k)
                 if best is not None and best[2] == 0:
                     continue
-                # the band's diagonals bound where the item may start
-                first = int(diagonal[order[a:b]].min()) - int(self.budget[k])
-                last = int(diagonal[order[a:b]].max()) + int(self.length[k]) + int(self.budget[k])
-                first, last = max(0, first), min(len(points), last)
-                got = banded_distance(self.points[k], points[first:last], int(self.budget[k]))
+                near, m, e = diagonal[order[a:b]], int(self.length[k]), int(self.budget[k])
+                low, high = int(near.min()), int(near.max())
+                got = banded_distance(self.points[k], points, low, high, e)
                 if got is not None and (best is None or got[0] < best[2]):
-                    back = banded_distance(self.points[k][::-1], points[first:first + got[1]][::-1], int(self.budget[k]))
-                    start = first + got[1] - (back[1] if back is not None else int(self.length[k]))
-                    found[k] = (start, first + got[1], got[0])
+                    # backwards from where it ends: as many edits, and the start nearest to the end
+                    back = banded_distance(self.points[k][::-1], points[:got[1]][::-1], 0, 0, e)
+                    found[k] = (got[1] - (back[1] if back is not None else m), *reversed(got))
 
 
 def benchmark_blocks(benchmark: DataFrame, key: str, text: str, chars: int) -> Iterator[list[tuple[int, str]]]:
@@ -167,38 +177,56 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     """(key, item, start, end, edits) for every row and item that its text holds.
 
     Texts are compared in lower case with white space folded; places count in that
-    form.  An item matches with at most ``rate`` of its length in edits; items
-    shorter than ``q`` only as whole words.  Null and empty texts and items match
-    nothing; repeated rows give rows each; equal items match each; null keys stay
-    null; empty tables give no rows.  The benchmark is a query set against all rows
-    and goes out in blocks, so its size does not bound the operator.
+    form.  An item matches with at most ``rate`` of its length in edits, but no more
+    than leave one q-gram shared (see ``edit_budget``); items shorter than ``q`` only as
+    whole words.  Null and empty texts and items match
+    nothing; repeated rows give rows each; equal items match each; of regions with
+    equally few edits the first counts; texts of any length are read whole; null keys
+    stay null; other columns are left out; empty tables give no rows.  The benchmark is
+    a query set against all rows: it goes out in blocks of ``block_chars`` characters,
+    one at a time, each with a pass over the rows.
     """
     spark = docs.sparkSession
-    kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item_key].dataType.simpleString()
-    schema = f"k {kind}, item {item_kind}, start int, end int, edits int"
-    own = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    out = None
+    item_kind = benchmark.schema[item_key].dataType.simpleString()
+    found = f"m array<struct<item:{item_kind},start:int,end:int,edits:int>>"
+    parts: list[DataFrame] = []
+    held = None
     for block in benchmark_blocks(benchmark, item_key, item_text, block_chars):
-        index = spark.sparkContext.broadcast(Index(block, q, rate))
-
-        def run(frames: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                rows = []
-                for k, t in zip(frame["k"], frame["t"]):
-                    rows += [(k, index.value.ids[i], a, b, e) for i, a, b, e in index.value.matches(normal(t))]
-                yield pd.DataFrame(rows, columns=["k", "item", "start", "end", "edits"]) if rows else pd.DataFrame({c: [] for c in ("k", "item", "start", "end", "edits")})
-
-        part = own.mapInPandas(run, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], schema)
-    return out.withColumnsRenamed({"k": key, "item": item_key})
+        if held is not None:  # one block at a time: its part is written before the next is made
+            parts[-1] = stage_table(parts[-1], "matches")
+            held.unpersist()
+        held = spark.sparkContext.broadcast(Index(block, q, rate))
+        parts.append(keyed(docs, key, text, _matches(held, to_arrow_type(benchmark.schema[item_key].dataType)), found).filter("size(m) > 0"))
+    if not parts:
+        parts.append(docs.select(F.col(key).alias("k")).limit(0).withColumn("m", F.lit(None).cast(found[2:])))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select(F.col("k"), F.explode("m").alias("m")).select("k", "m.*").withColumnsRenamed({"k": key, "item": item_key})
+
+
+def _matches(index, item_type: pa.DataType):
+    def of(batch: pa.RecordBatch) -> list[pa.Array]:
+        rows = [[(index.value.ids[i], a, b, e) for i, a, b, e in index.value.matches(normal(t))] for t in batch.column("t").to_pylist()]
+        flat = list(zip(*(r for x in rows for r in x))) or [(), (), (), ()]
+        columns = [pa.array(c, t) for c, t in zip(flat, (item_type, pa.int32(), pa.int32(), pa.int32()))]
+        at = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32())
+        return [pa.ListArray.from_arrays(at, pa.StructArray.from_arrays(columns, ["item", "start", "end", "edits"]))]
+
+    return of
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", q: int = 8, rate: float = 0.1, block_chars: int = 4_000_000) -> DataFrame:
-    """The rows whose text holds no benchmark item, with all their columns; nothing is shuffled."""
+    """The rows whose text holds no benchmark item, with all their columns, whatever
+    their names; nothing is shuffled.  Null and empty texts hold none and stay, as do
+    all rows where the benchmark is empty; repeated rows are judged each."""
+    held = None
     for block in benchmark_blocks(benchmark, item_key, item_text, block_chars):
-        docs = docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(Index(block, q, rate)), text), docs.schema)
+        if held is not None:  # one block at a time
+            docs = stage_table(docs, "clean")
+            held.unpersist()
+        held = docs.sparkSession.sparkContext.broadcast(Index(block, q, rate))
+        docs = docs.mapInArrow(_clean(held, text), docs.schema)
     return docs
 
 
