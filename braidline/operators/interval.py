@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,37 +27,53 @@ def region(features: DataFrame, seqid: str, start: int | None = None, end: int |
     return out.filter(F.col("end_pos") <= end) if end is not None else out
 
 
+LEVELS = (0, 1, 2, 3)
+
+
 def overlap_join(left: DataFrame, right: DataFrame, bin_bits: int = 9) -> DataFrame:
     """Pairs of rows of one seqid that overlap; left has q_seqid, q_start, q_end.
 
-    Both sides go to every bin that they touch, and a pair is made in the first bin
-    that both have, so it is made once.  Intervals over 64 bins are joined at a
-    coarser level, where they touch few bins, with everything else at that level.
-    The last level takes all that are wider; its outer bins have no end, so every
-    width is joined and none touches more than 66 bins there.
+    An interval's level is the first whose bins (each level's 64 times as wide as the
+    one before) it touches few of; the last level takes all that are wider, and its
+    outer bins have no end.  A pair meets at the coarser level of its two: either the
+    query at its own level meets features of that or a finer one, or the feature at
+    its own level meets finer queries.  So both joins are on the level and bin as keys,
+    short meets short at the finest level only, and rows are sent to the levels alone
+    that the other side has.  A pair is made in the first bin that both touch.
     """
-    def binned(df: DataFrame, lo: str, hi: str, tag: str) -> DataFrame:
-        wide = F.col(hi).cast("double") - F.col(lo).cast("double") + 1
-        level = F.when(wide <= (64 << bin_bits), F.lit(0)).otherwise(F.least(F.ceil(F.log2(wide / (1 << bin_bits)) / 6).cast("int"), F.lit(levels[-1])))
-        return df.withColumn(f"{tag}_level", level)
+    def wide(lo: str, hi: str) -> Column:
+        return F.col(hi).cast("double") - F.col(lo).cast("double") + 1
+
+    def level(lo: str, hi: str) -> Column:
+        coarse = F.least(F.ceil(F.log2(wide(lo, hi) / (1 << bin_bits)) / 6).cast("int"), F.lit(LEVELS[-1]))
+        return F.when(wide(lo, hi) <= (64 << bin_bits), F.lit(0)).otherwise(coarse)
 
     def bin_of(c: str, k: int) -> Column:
         out = F.shiftright(F.col(c).cast("long"), bin_bits + 6 * k)
-        return F.greatest(F.lit(-1).cast("long"), F.least(out, F.lit(64).cast("long"))) if k == levels[-1] else out
-
-    def at(df: DataFrame, lo: str, hi: str, tag: str, levels: list[int]) -> DataFrame:
-        parts = F.array(*(F.struct(F.lit(k).alias("k"), bin_of(lo, k).alias("a"), bin_of(hi, k).alias("b")) for k in levels))
-        df = df.withColumn("_p", F.explode(F.filter(parts, lambda p: p["k"] >= F.col(f"{tag}_level"))))
-        df = df.withColumn(f"{tag}_bin", F.explode(F.sequence("_p.a", "_p.b")))
-        return df.withColumn(f"{tag}_k", F.col("_p.k")).withColumn(f"{tag}_first", F.col("_p.a")).drop("_p")
-
-    levels = [0, 1, 2, 3]
-    a = at(binned(left, "q_start", "q_end", "q"), "q_start", "q_end", "q", levels)
-    b = at(binned(right, "start_pos", "end_pos", "f"), "start_pos", "end_pos", "f", levels)
+        return F.greatest(F.lit(-1).cast("long"), F.least(out, F.lit(64).cast("long"))) if k == LEVELS[-1] else out
+
+    def at(df: DataFrame, lo: str, hi: str, tag: str, takes: Callable[[Column], Column], of: Column | None = None) -> DataFrame:
+        """A row for each bin of each level that ``takes`` holds for and ``of`` lists."""
+        bins = F.array(*(F.struct(F.lit(k).alias("k"), bin_of(lo, k).alias("a"), bin_of(hi, k).alias("b")) for k in LEVELS))
+        out = df.withColumn("_p", F.explode(F.filter(bins, lambda p: takes(p["k"]))))
+        if of is not None:
+            out = out.filter(F.array_contains(of, F.col("_p.k")))
+        out = out.withColumn(f"{tag}_bin", F.explode(F.sequence("_p.a", "_p.b")))
+        return out.withColumn(f"{tag}_k", F.col("_p.k")).withColumn(f"{tag}_first", F.col("_p.a")).drop("_p")
+
+    query, feature = ("q_start", "q_end"), ("start_pos", "end_pos")
+    of_queries = left.select(level(*query).alias("k")).agg(F.collect_set("k")).scalar()
+    of_features = right.select(level(*feature).alias("k")).agg(F.collect_set("k")).scalar()
     same = (F.col("q_seqid") == F.col("seqid")) & (F.col("q_bin") == F.col("f_bin")) & (F.col("q_k") == F.col("f_k"))
-    once = (F.col("q_k") == F.greatest("q_level", "f_level")) & (F.col("q_bin") == F.greatest("q_first", "f_first"))
+    once = F.col("q_bin") == F.greatest("q_first", "f_first")
     hit = (F.col("start_pos") <= F.col("q_end")) & (F.col("end_pos") >= F.col("q_start"))
-    return a.join(b, same & once & hit).drop(*(f"{t}_{c}" for t in "qf" for c in ("bin", "k", "first", "level")))
+    extra = [f"{t}_{c}" for t in "qf" for c in ("bin", "k", "first")]
+    own_q = at(left, *query, "q", lambda k: k == level(*query))
+    fine_f = at(right, *feature, "f", lambda k: k >= level(*feature), of_queries)
+    own_f = at(right, *feature, "f", lambda k: k == level(*feature))
+    fine_q = at(left, *query, "q", lambda k: k > level(*query), of_features)
+    met = [a.join(b, same & once & hit).drop(*extra) for a, b in ((own_q, fine_f), (fine_q, own_f))]
+    return met[0].unionByName(met[1])
 
 
 def islands(df: DataFrame, keys: list[str], adjacent: bool = True) -> DataFrame:

@@ -114,7 +114,7 @@ def op_childless(spark: SparkSession, d: str) -> DataFrame:
     return orders.join(lines.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti").select(F.concat(F.lit("o"), "o_orderkey").alias("child"), F.concat(F.lit("c"), "o_custkey").alias("parent"))
 
 
-@query("SELECT parent, child FROM edges WHERE parent NOT IN (SELECT id FROM f WHERE strand = '+')")
+@query("SELECT parent, child FROM edges WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.id = edges.parent AND strand = '+')")
 def op_orphan_parents(spark: SparkSession, d: str) -> DataFrame:
     """Edges whose parent is missing from the features of the plus strand."""
     f = features(spark, d)
@@ -408,7 +408,7 @@ SELECT 'strand_differs' AS rule, c.id FROM f c JOIN f p ON c.parent = p.id WHERE
 UNION ALL SELECT 'outside_parent', c.id FROM f c JOIN f p ON c.parent = p.id WHERE c.start_pos < p.start_pos OR c.end_pos > p.end_pos
 UNION ALL SELECT 'sequence_differs', c.id FROM f c JOIN f p ON c.parent = p.id WHERE c.seqid <> p.seqid
 UNION ALL SELECT 'duplicate_id', id FROM f GROUP BY id HAVING count(*) > 1
-UNION ALL SELECT 'parent_missing', child FROM edges WHERE parent NOT IN (SELECT id FROM f)
+UNION ALL SELECT 'parent_missing', child FROM edges WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.id = edges.parent)
 UNION ALL SELECT 'bad_coordinates', id FROM f WHERE start_pos < 1 OR end_pos < start_pos
 UNION ALL SELECT 'beyond_sequence', id FROM f WHERE end_pos > 18000""")
 def op_validate_structure(spark: SparkSession, d: str) -> DataFrame:
@@ -447,7 +447,7 @@ def op_copy_suppressed(spark: SparkSession, d: str) -> DataFrame:
     return copy_suppressed(models, f.filter("featuretype = 'gene' AND strand = '-'")).select("id")
 
 
-@query("SELECT DISTINCT id FROM f WHERE featuretype = 'gene' AND id NOT IN (SELECT child FROM edges)")
+@query("SELECT DISTINCT id FROM f WHERE featuretype = 'gene' AND NOT EXISTS (SELECT 1 FROM edges WHERE child = f.id)")
 def op_tops(spark: SparkSession, d: str) -> DataFrame:
     f = features(spark, d)
     return graph.tops(f, graph.edges(f)).select("id").distinct()

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .stage import staged
+
 COLUMNS = ["id", "parent", "seqid", "featuretype", "start_pos", "end_pos", "strand"]
 LINE_ORDER = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
@@ -24,6 +26,11 @@ def suffixed(base, n):
 
 
 def exons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view's exons, as a stage table: they are derived once for all queries of a session."""
+    return staged(spark, f"exons of {sf_dir}", lambda: derived_exons(spark, sf_dir))
+
+
+def derived_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     n = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*LINE_ORDER))
     own = lines.select(
@@ -47,7 +54,11 @@ def envelope(children: DataFrame, key: str, parent: str, kind: str) -> DataFrame
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Genes, transcripts and exons with their parents."""
+    """Genes, transcripts and exons with their parents, as a stage table."""
+    return staged(spark, f"features of {sf_dir}", lambda: derived_features(spark, sf_dir))
+
+
+def derived_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     ex = exons(spark, sf_dir)
     mrna = envelope(ex, "parent", "gene", "mRNA")
     gene = envelope(ex.withColumn("none", F.lit(None).cast("string")), "gene", "none", "gene")
@@ -60,15 +71,15 @@ WITH base AS (
          l_partkey * 10 + CAST(l_quantity AS BIGINT) * 3 AS end_pos, l_returnflag,
          row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS copy
   FROM lineitem),
-ex AS (
+ex AS MATERIALIZED (
   SELECT CASE WHEN copy > 1 THEN base || '__' || copy ELSE base END AS id, 't' || o_orderkey AS parent, 'chr' || c_nationkey AS seqid, 'exon' AS featuretype,
          start_pos, end_pos, CASE WHEN o_orderkey % 2 = 0 THEN '+' ELSE '-' END AS strand, 'g' || c_custkey AS gene, base, copy, l_returnflag AS flag
   FROM base JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
-mrna AS (SELECT parent AS id, min(gene) AS parent, min(seqid) AS seqid, 'mRNA' AS featuretype, min(start_pos) AS start_pos, max(end_pos) AS end_pos, min(strand) AS strand FROM ex GROUP BY ex.parent),
-gene AS (SELECT gene AS id, CAST(NULL AS VARCHAR) AS parent, min(seqid) AS seqid, 'gene' AS featuretype, min(start_pos) AS start_pos, max(end_pos) AS end_pos, min(strand) AS strand FROM ex GROUP BY ex.gene),
-f AS (SELECT id, parent, seqid, featuretype, start_pos, end_pos, strand FROM ex UNION ALL SELECT * FROM mrna UNION ALL SELECT * FROM gene),
-edges AS (SELECT parent, id AS child FROM f WHERE parent IS NOT NULL),
-closure AS (
+mrna AS MATERIALIZED (SELECT parent AS id, min(gene) AS parent, min(seqid) AS seqid, 'mRNA' AS featuretype, min(start_pos) AS start_pos, max(end_pos) AS end_pos, min(strand) AS strand FROM ex GROUP BY ex.parent),
+gene AS MATERIALIZED (SELECT gene AS id, CAST(NULL AS VARCHAR) AS parent, min(seqid) AS seqid, 'gene' AS featuretype, min(start_pos) AS start_pos, max(end_pos) AS end_pos, min(strand) AS strand FROM ex GROUP BY ex.gene),
+f AS MATERIALIZED (SELECT id, parent, seqid, featuretype, start_pos, end_pos, strand FROM ex UNION ALL SELECT * FROM mrna UNION ALL SELECT * FROM gene),
+edges AS MATERIALIZED (SELECT parent, id AS child FROM f WHERE parent IS NOT NULL),
+closure AS MATERIALIZED (
   SELECT parent AS ancestor, child AS descendant, CAST(1 AS BIGINT) AS depth FROM edges
   UNION ALL SELECT a.parent, b.child, CAST(2 AS BIGINT) FROM edges a JOIN edges b ON a.child = b.parent)
 """
