@@ -63,25 +63,28 @@ def banded_distance(item: np.ndarray, region: np.ndarray, low: int, high: int, b
     """
     low, high = low - budget, high + budget
     wide = high - low + 1
-    far = budget + 1  # as good as any more
+    far = 1 << 20  # as good as any more
     padded = np.full(len(item) + wide, 0xFFFFFFFF, np.uint32)  # place p of the region at p - low
     a, b = max(0, low), min(len(region), low + len(padded))
     if a < b:
         padded[a - low:b - low] = region[a:b]
+    differ = np.lib.stride_tricks.sliding_window_view(padded, wide)[:len(item)] != item[:, None]
+    # the row less its diagonal's number: a step along the region, which costs one, changes nothing then
     steps = np.arange(wide, dtype=np.int32)
-    row = np.where((steps + low >= 0) & (steps + low <= len(region)), 0, far).astype(np.int32)
-    for i, c in enumerate(item):
-        new = row + (padded[i:i + wide] != c)  # the next characters of both
-        new[:-1] = np.minimum(new[:-1], row[1:] + 1)  # the item's only
-        row = np.minimum.accumulate(new - steps) + steps  # the region's only
+    row = np.where((steps + low >= 0) & (steps + low <= len(region)), 0, far).astype(np.int32) - steps
+    for i, unlike in enumerate(differ):
+        new = row + unlike  # the next characters of both
+        np.minimum(new[:-1], row[1:] + 2, out=new[:-1])  # the item's only
+        row = np.minimum.accumulate(new, out=new)  # the region's only
         if i + 1 + low < 0:  # before the region
             row[:-(i + 1 + low)] = far
         if i + 1 + high > len(region):  # behind it
             row[max(0, len(region) - i - low):] = far
-        if row.min() > budget:
+        if i % 8 == 7 and (row + steps).min() > budget:
             return None
+    row = row + steps
     end = int(row.argmin())
-    return int(row[end]), end + low + len(item)
+    return (int(row[end]), end + low + len(item)) if row[end] <= budget else None
 
 
 class Index:
@@ -141,12 +144,13 @@ class Index:
             key = item * (2 * (int(diagonal.max()) - offset + 2 * int(wide.max()) + 2)) + band
             order = np.argsort(key, kind="stable")
             edge = np.flatnonzero(np.diff(key[order], prepend=-1))
-            for a, b in zip(edge, np.append(edge[1:], len(order))):
+            stop = np.append(edge[1:], len(order))
+            full = stop - edge >= self.need[item[order[edge]]]
+            for a, b in zip(edge[full].tolist(), stop[full].tolist()):
                 k = int(item[order[a]])
-                if b - a < self.need[k]:
-                    continue
-                places = np.unique(where[order[a:b]])
-                if len(places) < self.need[k]:
+                at = where[order[a:b]]
+                # what edits leave are q-grams at as many places of the text and of the item
+                if min(len(np.unique(at)), len(np.unique(at - diagonal[order[a:b]]))) < self.need[k]:
                     continue
                 best = found.get(k)
                 if best is not None and best[2] == 0:
