@@ -10,13 +10,17 @@ byte by byte.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import BinaryIO
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,32 +52,41 @@ def render(headers: Headers, block: bytes) -> bytes:
     return "\r\n".join(lines).encode("utf-8", "surrogatepass") + CRLF + CRLF + block + CRLF + CRLF
 
 
-def parse(data: bytes) -> Iterator[tuple[Headers, bytes]]:
-    """Records of an uncompressed WARC file; raises ValueError on what is none.
+def records(stream: BinaryIO) -> Iterator[tuple[Headers, bytes]]:
+    """Records of an uncompressed WARC stream, one in memory at a time.
 
-    Header lines that begin with white space continue the one before.
+    Header lines that begin with white space continue the one before.  Raises
+    ValueError on what is no record, has no length or is cut off.
     """
-    at = 0
-    while at < len(data):
-        if data[at:at + 2] == CRLF:
-            at += 2
+    n = 0
+    while line := stream.readline():
+        if line == CRLF:
             continue
-        end = data.find(CRLF + CRLF, at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record after record {n}")
         headers: Headers = []
-        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
-            if line[:1] in (" ", "\t") and headers:
-                headers[-1] = (headers[-1][0], f"{headers[-1][1]} {line.strip()}")
+        while (line := stream.readline()) != CRLF:
+            if not line:
+                raise ValueError(f"the head of record {n + 1} is cut off")
+            text = line.decode("utf-8", "replace").rstrip("\r\n")
+            if text[:1] in (" ", "\t") and headers:
+                headers[-1] = (headers[-1][0], f"{headers[-1][1]} {text.strip()}")
             else:
-                name, _, value = line.partition(":")
+                name, _, value = text.partition(":")
                 headers.append((name.strip(), value.strip()))
-        length = int(first(headers, "Content-Length") or 0)
-        block = data[end + 4:end + 4 + length]
-        if len(block) < length:
-            raise ValueError(f"record at byte {at} is cut off")
+        length = first(headers, "Content-Length") or ""
+        if not (length.isascii() and length.isdigit()):
+            raise ValueError(f"record {n + 1} has no length")
+        block = stream.read(int(length))
+        if len(block) < int(length):
+            raise ValueError(f"record {n + 1} is cut off")
+        n += 1
         yield headers, block
-        at = end + 4 + length
+
+
+def parse(data: bytes) -> Iterator[tuple[Headers, bytes]]:
+    """Records of an uncompressed WARC file in memory; see ``records``."""
+    return records(io.BytesIO(data))
 
 
 def first(headers: Headers, name: str) -> str | None:
@@ -219,39 +232,73 @@ def _row(what: str, headers: Headers, block: bytes) -> tuple:
     return what, first(headers, "WARC-Record-ID"), first(headers, "WARC-Refers-To"), first(headers, "WARC-Target-URI"), first(headers, "WARC-Source-Payload-Digest"), first(headers, "WARC-Block-Digest"), len(block), block.decode("utf-8", "replace"), render(headers, block)
 
 
-def derive_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+def _batch(of: list[int], rows: list[tuple], source: pa.Array, name: str) -> pa.RecordBatch:
+    types = [pa.int64() if c.endswith(" long") else pa.binary() if c.endswith(" binary") else pa.string() for c in SCHEMA.split(", ")]
+    columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+    return pa.RecordBatch.from_arrays([source.take(pa.array(of, pa.int64())), *columns], [name, *(c.split()[0] for c in SCHEMA.split(", "))])
+
+
+def derive_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", date: str = "2024-01-01T00:00:00Z", most: int = 8 << 20) -> DataFrame:
     """Two rows for every page: its metadata and its conversion record.
 
     A null url leaves out the target; a null or empty page has an empty payload and
-    text.  Repeated rows give equal records each (same ids); an empty table gives no
-    rows; other columns are left out.
+    text; a page of any length is one record.  Repeated rows give equal records each
+    (same ids); null keys stay null; an empty table gives no rows; other columns are
+    left out, so their names cannot clash.  About ``most`` bytes of records are handed
+    over at a time.
     """
     kind = pages.schema[key].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["k", *(x.split()[0] for x in SCHEMA.split(", "))]
-        for frame in frames:
-            rows = [(k, *_row(*d)) for k, u, h in zip(frame["k"], frame["u"], frame["h"]) for d in derivatives(*page_response(k, u, h, date))]
-            yield pd.DataFrame(rows, columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, rows, size = [], [], 0
+            for i, (k, u, h) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("k", "u", "h")))):
+                for d in derivatives(*page_response(k, u, h, date)):
+                    of.append(i)
+                    rows.append(_row(*d))
+                    size += len(rows[-1][-1])
+                if size >= most:
+                    yield _batch(of, rows, batch.column("k"), "k")
+                    of, rows, size = [], [], 0
+            yield _batch(of, rows, batch.column("k"), "k")
 
     own = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), F.col(html).alias("h"))
-    return own.mapInPandas(run, f"k {kind}, {SCHEMA}").withColumnRenamed("k", key)
+    return own.mapInArrow(run, f"k {kind}, {SCHEMA}").withColumnRenamed("k", key)
 
 
-def derive_warc(files: DataFrame) -> DataFrame:
+def derive_warc(files: DataFrame, most: int = 8 << 20) -> DataFrame:
     """Derivatives of all responses in WARC files read with ``binaryFile`` (path, content; gzip too).
 
-    Records of other types give no rows; a file of several gzip members is one stream.
+    Records of other types give no rows; a file of several gzip members is one stream,
+    unpacked a record at a time; an empty or null file gives no rows.  What comes before
+    a damaged record counts; the damage is a row of its own, of type ``damaged``, whose
+    content says what is wrong.
     """
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import gzip
-
-        names = ["path", *(x.split()[0] for x in SCHEMA.split(", "))]
-        for frame in frames:
-            rows = []
-            for path, data in zip(frame["path"], frame["content"]):
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                rows += [(path, *_row(*d)) for h, b in parse(data) if first(h, "WARC-Type") == "response" for d in derivatives(h, b)]
-            yield pd.DataFrame(rows, columns=names)
-
-    return files.select("path", "content").mapInPandas(run, f"path string, {SCHEMA}")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, rows, size = [], [], 0
+            for i, data in enumerate(batch.column("content").to_pylist()):
+                data = data or b""
+                stream = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+                found = records(stream)
+                while True:
+                    try:
+                        headers, block = next(found)
+                    except StopIteration:
+                        break
+                    except (ValueError, EOFError, OSError, zlib.error) as wrong:
+                        of.append(i)
+                        rows.append(("damaged", None, None, None, None, None, 0, str(wrong), None))
+                        break
+                    if first(headers, "WARC-Type") != "response":
+                        continue
+                    for d in derivatives(headers, block):
+                        of.append(i)
+                        rows.append(_row(*d))
+                        size += len(rows[-1][-1])
+                    if size >= most:
+                        yield _batch(of, rows, batch.column("path"), "path")
+                        of, rows, size = [], [], 0
+            yield _batch(of, rows, batch.column("path"), "path")
+
+    return files.select("path", "content").mapInArrow(run, f"path string, {SCHEMA}")
