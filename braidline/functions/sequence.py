@@ -64,3 +64,25 @@ def percent_encode(value: Column) -> Column:
 def percent_decode(value: Column) -> Column:
     """%XX to text; ``+`` stays, and what cannot be decoded stays as it is."""
     return F.coalesce(F.try_url_decode(F.replace(value, F.lit("+"), F.lit("%2B"))), value)
+
+
+def made_sequence(seed: Column, length: int) -> Column:
+    """Bases that follow from a seed: two for each hexadecimal digit of the SHA-256 of the
+    seed, a zero byte and a counter of eight bytes, digest after digest."""
+    pairs = F.array(*(F.lit("ACGT"[i // 4] + "ACGT"[i % 4]) for i in range(16)))
+    digests = [F.sha2(F.concat(F.encode(seed, "UTF-8"), F.unhex(F.lit(f"00{k:016x}"))), 256) for k in range(-(-length // 128))]
+    digits = F.filter(F.split(F.concat(*digests) if digests else F.lit(""), ""), lambda d: d != "")
+    bases = F.transform(digits, lambda d: F.element_at(pairs, F.conv(d, 16, 10).cast("int") + 1))
+    return F.substring(F.array_join(bases, ""), 1, length)
+
+
+def location(text: Column) -> Column:
+    """``seqid:start-end`` as a struct; null for anything else."""
+    part = lambda i: F.regexp_extract(text, r"^(.+):(\d+)-(\d+)$", i)
+    return F.when(text.rlike(r"^.+:\d+-\d+$"), F.struct(part(1).alias("seqid"), part(2).cast("long").alias("start_pos"), part(3).cast("long").alias("end_pos")))
+
+
+def truncated(protein: Column) -> Column:
+    """How many stops a protein has before its last letter."""
+    inner = F.substring(protein, F.lit(1), F.greatest(F.length(protein) - 1, F.lit(0)))
+    return F.length(inner) - F.length(F.replace(inner, F.lit("*"), F.lit("")))

@@ -39,3 +39,67 @@ def structure(features: DataFrame, lengths: DataFrame | None = None) -> DataFram
     if lengths is not None:
         out.append(_finding("beyond_sequence", features.join(lengths, "seqid").filter("end_pos > length")))
     return reduce(DataFrame.unionByName, out)
+
+
+#: The kinds that the rules tell apart.
+GENES = ("gene", "pseudogene", "ncRNA_gene", "transposable_element_gene")
+TRANSCRIPTS = ("mRNA", "transcript", "ncRNA", "lnc_RNA", "lncRNA", "rRNA", "tRNA", "snRNA", "snoRNA", "miRNA", "primary_transcript", "pseudogenic_transcript")
+
+
+def hierarchy(features: DataFrame) -> DataFrame:
+    """Findings on who stands below whom, over features (id, parent, featuretype, start_pos, end_pos).
+
+    Parents that are missing; genes with a parent; transcripts, exons and CDS without
+    a parent, or below a kind that cannot hold them (what holds children and has no
+    parent can); transcripts without exon and CDS; mRNA without CDS; CDS within no exon
+    of their transcript.  A feature with the id of another counts on its own.
+    """
+    pairs = graph.edges(features)
+    kids = features.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("id")).agg(
+        F.bool_or(F.col("featuretype") == "exon").alias("has_exon"), F.bool_or(F.col("featuretype") == "CDS").alias("has_cds"))
+    root = F.col("parent").isNull() & F.col("has_exon").isNotNull() & ~F.col("featuretype").isin("exon", "CDS")
+    own = features.join(kids, "id", "left").withColumn("root", root)
+    up = own.groupBy(F.col("id").alias("parent")).agg(F.min("featuretype").alias("up_kind"), F.bool_or("root").alias("up_root"))
+    both = own.join(up, "parent")
+    kind, up_kind = F.col("featuretype"), F.col("up_kind")
+    is_tx, none = kind.isin(*TRANSCRIPTS), F.col("parent").isNull()
+    parts = [("exon", "exon"), ("CDS", "cds")]
+    # a transcript by name or by the form of its name; and what holds exons without one
+    holds = up_kind.isin(*TRANSCRIPTS) | up_kind.rlike("(RNA|_transcript)$") | up_kind.isin("pseudogene", "transposable_element")
+    covered = features.filter("featuretype = 'CDS'").alias("c").join(
+        features.filter("featuretype = 'exon'").select("parent", F.col("start_pos").alias("e0"), F.col("end_pos").alias("e1")), "parent").filter("e0 <= start_pos AND e1 >= end_pos").select("id", "parent").distinct()
+    out = [
+        _finding("orphan_parent", graph.orphans(pairs, features), "child"),
+        _finding("gene_has_parent", own.filter(kind.isin(*GENES) & ~none)),
+        _finding("transcript_no_parent", own.filter(is_tx & none & ~F.col("root"))),
+        _finding("transcript_parent_type", both.filter(is_tx & ~up_kind.isin(*GENES) & ~F.col("up_root"))),
+        *(_finding(f"{name}_no_parent", own.filter((kind == k) & none)) for k, name in parts),
+        *(_finding(f"{name}_parent_type", both.filter((kind == k) & ~holds & ~F.col("up_root"))) for k, name in parts),
+        _finding("transcript_has_exons", own.filter(is_tx & ~F.coalesce(F.col("has_exon") | F.col("has_cds"), F.lit(False)))),
+        _finding("mrna_has_cds", own.filter((kind == "mRNA") & ~F.coalesce("has_cds", F.lit(False)))),
+        _finding("cds_outside_exons", features.filter("featuretype = 'CDS' AND parent IS NOT NULL").join(covered, ["id", "parent"], "left_anti")),
+    ]
+    return reduce(DataFrame.unionByName, out)
+
+
+def declared_earlier(features: DataFrame) -> DataFrame:
+    """Findings on line order (column line): children before their parent's first line, and
+    ids that are repeated, but for the parts of one CDS (same sequence, strand and parent)."""
+    first = features.groupBy(F.col("id").alias("parent")).agg(F.min("line").alias("up_line"))
+    late = features.join(first, "parent").filter("line < up_line")
+    signature = F.struct("featuretype", "seqid", "strand", F.coalesce("parent", F.lit("")).alias("parent"))
+    repeated = features.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min(signature).alias("a"), F.max(signature).alias("b"))
+    wrong = repeated.filter((F.col("n") > 1) & ~((F.col("a") == F.col("b")) & (F.col("a.featuretype") == "CDS")))
+    return _finding("parent_declared_later", late).unionByName(_finding("duplicate_id", wrong))
+
+
+def score_attributes(features: DataFrame, names: tuple[str, ...] = ("protein_identity", "dna_identity"), sources: tuple[str, ...] = (".",)) -> DataFrame:
+    """Findings on ``attrs``: identities that are no number from 0 to 1, transcripts that
+    lack one, and sources that are not listed."""
+    out = [_finding("unexpected_source", features.filter(~F.col("source").isin(*sources)))]
+    for name in names:
+        value = F.get(F.col("attrs")[name], F.lit(0))
+        number = F.expr(f"try_cast(get(attrs['{name}'], 0) AS DOUBLE)")
+        out.append(_finding(f"{name}_invalid", features.filter(value.isNotNull() & ~F.coalesce(number.between(0, 1), F.lit(False)))))
+        out.append(_finding(f"{name}_missing", features.filter(F.col("featuretype").isin(*TRANSCRIPTS) & value.isNull())))
+    return reduce(DataFrame.unionByName, out)

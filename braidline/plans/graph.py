@@ -80,3 +80,11 @@ def tops(features: DataFrame, pairs: DataFrame) -> DataFrame:
 def copy_suffix(name: Column) -> Column:
     """The id without a trailing ``_N``."""
     return F.regexp_replace(name, r"_\d+$", "")
+
+
+def roles(features: DataFrame) -> DataFrame:
+    """(id, role): ``parent`` without a parent of its own, ``intermediate`` with one and
+    with children, else ``child``."""
+    has = edges(features).select(F.col("parent").alias("id"), F.lit(True).alias("has")).distinct()
+    role = F.when(F.col("parent").isNull(), "parent").when(F.col("has"), "intermediate").otherwise("child")
+    return features.join(has, "id", "left").select("id", role.alias("role"))

@@ -78,6 +78,16 @@ class FeatureStore:
         keys = [k.desc() if reverse else k.asc() for k in keys]
         return keys + [F.col(c).asc() for c in ("file_order", "id") if c in self.features.columns]
 
+    def page(self, n: int, after: str | None = None) -> DataFrame:
+        """The next ``n`` features by file order (those without one last) and id, after the feature ``after``."""
+        order = [F.coalesce(F.col("file_order"), F.lit(2**63 - 1))] if "file_order" in self.features.columns else []
+        key = F.struct(*(c.alias(f"k{i}") for i, c in enumerate([*order, F.col("id")])))
+        out = self.features.withColumn("_key", key)
+        if after is not None:
+            seen = out.filter(F.col("id") == after).agg(F.min("_key").alias("seen"))
+            out = out.filter(F.col("_key") > seen.scalar())
+        return out.orderBy("_key").limit(n).drop("_key")
+
     def region(self, seqid: str, start: int | None = None, end: int | None = None, within: bool = False) -> DataFrame:
         return iv.region(self.features, seqid, start, end, within)
 

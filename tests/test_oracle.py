@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from braidline import queries as own
+from braidline import hierarchy_queries, queries as own  # noqa: F401  the first registers its queries in the second
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -8,7 +8,6 @@ from hypothesis import strategies as st
 
 from braidline.functions import align
 from braidline.operators import fusion
-from braidline.operators.evaluate import adaptive_floor
 
 
 def plain_score(a, b, match=1, mismatch=-3, open_=5, extend=2):
@@ -81,11 +80,6 @@ def test_admission():
     assert [r[3] for r in fusion.admit_greedily(rows)] == ["a", "d"]
 
 
-def test_adaptive_floor():
-    assert adaptive_floor(0.05, 0.6) == 0.3 and adaptive_floor(0.9, 0.6) == 0.6
-    assert abs(adaptive_floor(0.3, 0.6) - 0.45) < 1e-12
-
-
 def test_overlap_join_at_all_widths(spark):
     from braidline.operators.interval import overlap_join
 
