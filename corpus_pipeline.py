@@ -1,7 +1,9 @@
 """The corpus pipeline: stages over ``documents``, each written and read again.
 
 Every stage works on all rows that its predecessor kept; all but the last return
-the columns of documents.
+the columns of documents, and further columns of any name go through.  In every stage
+an empty table gives an empty one, null and repeated keys are no trouble (rows are told
+apart by what is in them), and texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -19,28 +21,48 @@ from braidline.llm.simhash import keep_one
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go.
+
+    Null and empty texts fail the rules and go; a score equal to the threshold is kept;
+    repeated rows are judged each, and alike; without labels no score rejects any.
+    """
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays: that of the smallest key.
+
+    Null keys come last; of rows that are equal in every column one stays; all null,
+    empty and wordless texts are one group.
+    """
     return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Null and empty texts hold none; repeated rows go or stay alike; an item counts as a
+    whole, within its budget of edits.
+    """
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; n_chars follows the text."""
+    """Secrets are masked; n_chars follows the text.
+
+    Null texts stay null; spans that overlap or begin at one place are masked once;
+    repeated rows are masked alike.
+    """
     out = redact(docs)
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences, packed."""
+    """Pieces of token sequences, packed.
+
+    Null and empty texts are one piece with the end token; repeated rows are packed
+    each; pieces of equal length are taken in a fixed order; null keys stay null.
+    """
     return pack_documents(docs, WORDS)
 
 
