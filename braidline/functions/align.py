@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
@@ -14,11 +15,29 @@ from .sequence import CODE
 STOPS = {"TAA", "TAG", "TGA"}
 
 
-def global_alignment(a: str, b: str, match: int = 1, mismatch: int = -3, open_: int = 5, extend: int = 2) -> tuple[int, str, str]:
+def score_table(text: str, other: int = -4) -> np.ndarray:
+    """Scores of letter pairs from a matrix in its usual text form: a line of letters,
+    then for each letter a line of its scores; lines with # are notes.  Letters that the
+    matrix lacks score ``other``."""
+    lines = [x.split() for x in text.splitlines() if x.strip() and not x.startswith("#")]
+    table = np.full((256, 256), other, np.int64)
+    for row in lines[1:]:
+        for letter, score in zip(lines[0], row[1:]):
+            table[ord(row[0]), ord(letter)] = int(score)
+    return table
+
+
+def clean_dna(seq: str) -> str:
+    """Upper case; every letter but A, C, G, T is N."""
+    return re.sub("[^ACGT]", "N", seq.upper())
+
+
+def global_alignment(a: str, b: str, match: int = 1, mismatch: int = -3, open_: int = 5, extend: int = 2, table: np.ndarray | None = None) -> tuple[int, str, str]:
     """Score and gapped strings of a global alignment with affine gaps.
 
-    The first base of a gap costs ``open_``, each further one ``extend``.  Rows are
-    arrays; within a row the horizontal gap is a running maximum.
+    The first base of a gap costs ``open_``, each further one ``extend``; pairs score by
+    ``table`` (see ``score_table``) if there is one.  Rows are arrays; within a row the
+    horizontal gap is a running maximum.
     """
     if not a or not b:
         raise ValueError("an empty sequence cannot be aligned")
@@ -34,7 +53,7 @@ def global_alignment(a: str, b: str, match: int = 1, mismatch: int = -3, open_:
     for i in range(1, n + 1):
         goes_on = down - extend > best - open_
         down = np.maximum(best - open_, down - extend)
-        diagonal = np.concatenate([[low], best[:-1] + np.where(y == x[i - 1], match, mismatch)])
+        diagonal = np.concatenate([[low], best[:-1] + (np.where(y == x[i - 1], match, mismatch) if table is None else table[x[i - 1], y])])
         here = np.maximum(diagonal, down)
         across = np.full(m + 1, low)
         across[1:] = np.maximum.accumulate(here + steps)[:-1] - open_ - steps[1:] + extend
@@ -64,6 +83,93 @@ def global_alignment(a: str, b: str, match: int = 1, mismatch: int = -3, open_:
     return int(best[m]), "".join(p[::-1]), "".join(q[::-1])
 
 
+def shared_anchors(a: str, b: str, k: int) -> list[tuple[int, int]]:
+    """Places (in a, in b) of words of ``k`` letters that each has once, in the longest
+    chain that rises in both."""
+    def once(s: str) -> dict[str, int]:
+        at: dict[str, int] = {}
+        for i in range(len(s) - k + 1):
+            at[s[i:i + k]] = -1 if s[i:i + k] in at else i
+        return {w: i for w, i in at.items() if i >= 0}
+
+    left, right = once(a), once(b)
+    pairs = sorted((i, right[w]) for w, i in left.items() if w in right)
+    tails: list[int] = []  # least end of a chain of each length
+    last: list[int] = []
+    before: list[int] = []
+    for n, (_, j) in enumerate(pairs):
+        at = bisect_left(tails, j)
+        before.append(last[at - 1] if at else -1)
+        tails[at:at + 1], last[at:at + 1] = [j], [n]
+    chain, n = [], last[-1] if last else -1
+    while n >= 0:
+        chain.append(pairs[n])
+        n = before[n]
+    return chain[::-1]
+
+
+def anchored_alignment(a: str, b: str, k: int = 15, least: int = 8, limit: int = 8000, **scores: object) -> tuple[str, str]:
+    """Gapped strings of two sequences of any length.
+
+    Up to ``limit`` letters they are aligned as a whole.  Longer ones are cut at words
+    of ``k`` letters that both have once, and what lies between is aligned the same way,
+    with shorter words down to ``least``; where no word is shared, both are cut in half.
+    """
+    if not a or not b:
+        return a + "-" * len(b), "-" * len(a) + b
+    if max(len(a), len(b)) <= limit:
+        return global_alignment(a, b, **scores)[1:]
+    while not (chain := shared_anchors(a, b, k)) and k > least:
+        k = max(least, k // 2)
+    if not chain:
+        x, y = len(a) // 2, len(b) // 2
+        halves = [anchored_alignment(a[:x], b[:y], k, least, limit, **scores), anchored_alignment(a[x:], b[y:], k, least, limit, **scores)]
+        return halves[0][0] + halves[1][0], halves[0][1] + halves[1][1]
+    out: list[tuple[str, str]] = []
+    i = j = 0
+    for p, q in chain:
+        if p < i or q < j:  # overlaps the word before
+            continue
+        out.append(anchored_alignment(a[i:p], b[j:q], max(least, k // 2), least, limit, **scores))
+        out.append((a[p:p + k], b[q:q + k]))
+        i, j = p + k, q + k
+    out.append(anchored_alignment(a[i:], b[j:], max(least, k // 2), least, limit, **scores))
+    return "".join(x for x, _ in out), "".join(y for _, y in out)
+
+
+def aligned_identity(ref: str, target: str) -> float:
+    """Identity of aligned proteins: equal columns up to the target's first stop, over the
+    longer length less the reference's gaps there."""
+    n = target.find("*") + 1 or len(ref)
+    base = max(len(ref), len(target)) - ref[:n].count("-")
+    return sum(x == y for x, y in zip(ref[:n].upper(), target[:n].upper())) / max(base, 1)
+
+
+def chosen_frame(seq: str, reference: str, current: float, gain: float = 0.01, **scores: object) -> tuple[int, int, float] | None:
+    """The reading frame (start, end, identity) whose protein is most like the reference's,
+    if it is better than ``current`` by more than ``gain``; the first of equals."""
+    best: tuple[int, int, float] | None = None
+    for start, end in open_frames(seq):
+        ref, own = anchored_alignment(reference, translate(seq[start:end]), 8, 4, 2500, **scores)
+        identity = aligned_identity(ref, own)
+        if best is None or identity > best[2]:
+            best = (start, end, identity)
+    return best if best is not None and best[2] > current + gain else None
+
+
+def frame_parts(parts: list[tuple[int, int]], strand: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The bases ``start`` to ``end`` (0-based, half-open) of a spliced transcript as genomic
+    intervals, for its parts (1-based, inclusive) in rising order."""
+    out, at = [], 0
+    for a, b in parts if strand != "-" else parts[::-1]:
+        n = b - a + 1
+        x, y = max(start - at, 0), min(end - at, n)
+        if x < y:
+            out.append((a + x, a + y - 1) if strand != "-" else (b - y + 1, b - x))
+        at += n
+    return sorted(out)
+
+
 def translate(seq: str) -> str:
     order = "TCAG"
     seq = seq.upper()
@@ -92,8 +198,10 @@ def open_frames(seq: str) -> list[tuple[int, int]]:
     return out
 
 
-def variants(ref_dna: str, dna: str, ref_protein: str, protein: str, dna_identity: float, protein_identity: float) -> list[str]:
-    """Classes of a lifted transcript from aligned sequences."""
+def variants(ref_dna: str, dna: str, ref_protein: str, protein: str, dna_identity: float, protein_identity: float, coding: bool = True) -> list[str]:
+    """Classes of a lifted transcript from aligned sequences; ``coding`` is that of the reference."""
+    if not coding:
+        return ["non_coding"]
     if not dna:
         return ["full_transcript_loss"]
     if not protein:

@@ -517,3 +517,79 @@ def op_hierarchy_rules(spark: SparkSession, d: str) -> DataFrame:
 def op_truncated_proteins(spark: SparkSession, d: str) -> DataFrame:
     """Stops before the last letter of each protein."""
     return _sequences(spark, d).select("doc_id", sq.truncated(sq.translate(F.col("seq"))).cast("long").alias("n_inner"))
+
+
+SAM_SQL = "WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate, CAST(l_quantity AS BIGINT) AS q FROM lineitem)"
+
+
+def _sam_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as alignments; those of every fifth order are unmapped."""
+    q = F.col("l_quantity").cast("long").cast("string")
+    cigar = F.concat(F.lit("5S"), q, F.lit("M3I"), q, F.lit("=2X4D"), F.lit("7M"))
+    off = F.col("l_orderkey") % 5 == 0
+    fields = [F.concat(F.lit("q"), "l_orderkey", F.lit("_"), "l_linenumber"), F.when(off, "4").when(F.col("l_orderkey") % 2 == 0, "16").otherwise("0"), F.when(off, "*").otherwise(F.concat(F.lit("chr"), F.col("l_suppkey").cast("string"))),
+              F.col("l_partkey").cast("string"), F.lit("60"), F.when(off, "*").otherwise(cigar), F.lit("*"), F.lit("0"), F.lit("0"), F.lit("*"), F.lit("*")]
+    head = table(spark, d, "supplier").select(F.concat(F.lit("@SQ\tSN:chr"), F.col("s_suppkey").cast("string"), F.lit("\tLN:100000")).alias("value"))
+    return head.unionByName(table(spark, d, "lineitem").select(F.concat_ws("\t", *fields).alias("value")))
+
+
+@query(SAM_SQL + " SELECT 'q' || l_orderkey || '_' || l_linenumber AS query, CASE WHEN l_orderkey % 5 <> 0 THEN 'chr' || l_suppkey END AS target, CASE WHEN l_orderkey % 5 <> 0 THEN l_partkey END AS target_start, CASE WHEN l_orderkey % 5 <> 0 AND l_orderkey % 2 = 0 THEN '-' ELSE '+' END AS strand FROM s", view=False)
+def op_sam_scan(spark: SparkSession, d: str) -> DataFrame:
+    from .sources import sam
+
+    return sam.alignments(_sam_lines(spark, d)).select("query", "target", F.col("target_start"), "strand")
+
+
+@query(SAM_SQL + """, m AS (SELECT DISTINCT 'q' || l_orderkey || '_' || l_linenumber AS query, 'chr' || l_suppkey AS target, l_partkey - 1 AS t, q FROM s WHERE l_orderkey % 5 <> 0)
+SELECT query, target, 5 AS query_start, 4 + q AS query_end, t AS target_start, t + q - 1 AS target_end FROM m UNION ALL SELECT query, target, 8 + q, 9 + 2 * q, t + q, t + 2 * q + 1 FROM m UNION ALL SELECT query, target, 10 + 2 * q, 16 + 2 * q, t + 2 * q + 6, t + 2 * q + 12 FROM m""", view=False)
+def op_sam_blocks(spark: SparkSession, d: str) -> DataFrame:
+    from .sources import sam
+
+    return sam.blocks(sam.alignments(_sam_lines(spark, d))).drop("strand").distinct()
+
+
+@query(""", bl AS (SELECT id, gene, start_pos AS a, start_pos + (end_pos - start_pos) // 2 AS b, start_pos * 2 + 7 AS t FROM ex WHERE flag <> 'A'), met AS (SELECT e.gene, e.id, e.start_pos, e.end_pos, t + greatest(e.start_pos, a) - a AS x, t + least(e.end_pos, b) - a AS y FROM ex e JOIN bl ON bl.gene = e.gene AND a <= e.end_pos AND b >= e.start_pos)
+SELECT gene, id, min(x) AS lifted_start, max(y) AS lifted_end, CAST(sum(y - x + 1) AS BIGINT) AS covered, round(sum(y - x + 1) / (end_pos - start_pos + 1), 6) AS coverage FROM met GROUP BY gene, id, start_pos, end_pos""")
+def op_convert_coordinates(spark: SparkSession, d: str) -> DataFrame:
+    """Exons through the blocks of their gene's chain."""
+    ex = exons(spark, d)
+    blocks = ex.filter("flag <> 'A'").selectExpr("gene", "start_pos AS query_start", "start_pos + (end_pos - start_pos) DIV 2 AS query_end", "start_pos * 2 + 7 AS target_start", "start_pos * 2 + 7 + (end_pos - start_pos) DIV 2 AS target_end")
+    out = lifting.converted(ex.select("gene", "id", "start_pos", "end_pos"), blocks, "gene")
+    return out.select("gene", "id", "lifted_start", "lifted_end", "covered", F.round("coverage", 6).alias("coverage"))
+
+
+@query(""", cd AS (SELECT parent, start_pos - 9 AS c0, start_pos + 30 AS c1, row_number() OVER (PARTITION BY parent ORDER BY start_pos - 9, start_pos + 30) AS i, count(*) OVER (PARTITION BY parent) AS n FROM ex WHERE flag = 'R'),
+en AS (SELECT parent, min(c0) AS a, max(c1) AS b FROM cd GROUP BY ALL),
+sp AS (SELECT cd.parent, i, min(start_pos) AS s0, max(end_pos) AS s1, min((start_pos, end_pos)) AS f FROM cd JOIN ex ON ex.parent = cd.parent AND start_pos <= c1 AND end_pos >= c0 GROUP BY cd.parent, i)
+SELECT cd.parent, CASE WHEN n = 1 THEN coalesce(s0, c0) WHEN cd.i = 1 THEN least(c0, f[1]) ELSE c0 END AS start_pos, CASE WHEN n = 1 THEN coalesce(s1, c1) WHEN cd.i = n THEN greatest(c1, f[2]) ELSE c1 END AS end_pos, c0 AS cds_start, c1 AS cds_end
+FROM cd LEFT JOIN sp ON sp.parent = cd.parent AND sp.i = cd.i UNION ALL SELECT ex.parent, start_pos, end_pos, NULL, NULL FROM ex LEFT JOIN en ON en.parent = ex.parent WHERE a IS NULL OR end_pos < a OR start_pos > b""")
+def op_reconciled(spark: SparkSession, d: str) -> DataFrame:
+    """Exons rebuilt around new coding parts."""
+    ex = exons(spark, d)
+    return coding.reconciled(ex, ex.filter("flag = 'R'").selectExpr("parent", "start_pos - 9 AS start_pos", "start_pos + 30 AS end_pos"))
+
+
+@query(PLACED_SQL + """, fl AS (SELECT pl.id, greatest(1, start_pos - (end_pos - start_pos + 1) // 10) AS start_pos, least(length(seq), end_pos + (end_pos - start_pos + 1) // 10) AS end_pos, seq FROM pl JOIN cs ON pl.seqid = cs.seqid)
+SELECT id, start_pos, end_pos, substr(seq, start_pos, greatest(0, end_pos - start_pos + 1)) AS seq FROM fl""")
+def op_gene_flank(spark: SparkSession, d: str) -> DataFrame:
+    """Sequences with a tenth of their length more on both sides."""
+    return coding.with_flank(*_placed(spark, d), flank=0.1)
+
+
+@query(""", dup AS (SELECT base AS id, featuretype, parent FROM ex), al AS (SELECT id, featuretype, seqid, parent FROM f UNION ALL SELECT base, 'CDS', seqid, parent || 'x' FROM ex)
+SELECT 'featuretype' AS fact, featuretype AS name, count(*) AS n FROM al GROUP BY featuretype UNION ALL SELECT 'seqid', seqid, count(*) FROM al GROUP BY seqid
+UNION ALL SELECT CASE WHEN bool_and(featuretype = 'CDS') THEN 'discontinuous_cds' ELSE 'duplicate_id' END, id, count(*) FROM al GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'orphan_parent', parent || 'x', count(*) FROM ex GROUP BY parent""")
+def op_annotation_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Facts about the view, to which parts with the exons' ids and lost parents were added."""
+    again = exons(spark, d).selectExpr("base AS id", "concat(parent, 'x') AS parent", "seqid", "'CDS' AS featuretype", "start_pos", "end_pos", "strand")
+    own = features(spark, d).unionByName(again)
+    return at.annotation_scan(own, graph.edges(own))
+
+
+@query()
+def op_paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """Intervals of the mean difference by flag (seeded resampling: no SQL)."""
+    from .operators.evaluate import paired_bootstrap
+
+    pairs = table(spark, d, "lineitem").select("l_returnflag", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("key"), (F.col("l_discount") - F.col("l_tax")).alias("delta"))
+    return paired_bootstrap(pairs, "l_returnflag", "key", "delta", 200)

@@ -93,3 +93,41 @@ def phase_findings(cds: DataFrame, key: str = "parent") -> DataFrame:
 def relative_coordinate(place: Column, start: Column, end: Column, reverse: Column) -> Column:
     """A place within an interval, counted from its end where it is read in reverse."""
     return F.when(reverse, end - place).otherwise(place - start)
+
+
+def reconciled(exons: DataFrame, cds: DataFrame, key: str = "parent") -> DataFrame:
+    """(key, start_pos, end_pos, cds_start, cds_end): a transcript's exons rebuilt around new coding parts.
+
+    Every coding part is in an exon of its own extent; the first one's exon begins where
+    the exon that it overlaps does, if that is before it, and the last one's ends where
+    the first exon that it overlaps does, if that is behind it.  Exons wholly before the
+    first or behind the last coding part stay, without one.  A single coding part takes
+    the extent of all exons that it overlaps (its own, if there is none).  A transcript
+    without new coding parts keeps its exons.
+    """
+    place = Window.partitionBy(key).orderBy("start_pos", "end_pos")
+    n = F.count(F.lit(1)).over(Window.partitionBy(key))
+    c = cds.select(key, F.col("start_pos").alias("c0"), F.col("end_pos").alias("c1"), F.row_number().over(place).alias("i"), n.alias("n"))
+    e = exons.select(key, F.col("start_pos").alias("e0"), F.col("end_pos").alias("e1"))
+    ends = c.groupBy(key).agg(F.min("c0").alias("a"), F.max("c1").alias("b"))
+    # only the first and the last coding part look at exons
+    outer = c.filter("i = 1 OR i = n").join(e, key).filter("e0 <= c1 AND e1 >= c0")
+    span = outer.groupBy(key, "i").agg(F.min("e0").alias("s0"), F.max("e1").alias("s1"), F.min(F.struct("e0", "e1")).alias("f"))
+    own = c.join(span, [key, "i"], "left")
+    alone = F.col("n") == 1
+    start = F.when(alone, F.coalesce("s0", "c0")).when(F.col("i") == 1, F.least("c0", "f.e0")).otherwise(F.col("c0"))
+    end = F.when(alone, F.coalesce("s1", "c1")).when(F.col("i") == F.col("n"), F.greatest("c1", "f.e1")).otherwise(F.col("c1"))
+    none = F.lit(None).cast("long")
+    coded = own.select(key, start.alias("start_pos"), end.alias("end_pos"), F.col("c0").alias("cds_start"), F.col("c1").alias("cds_end"))
+    plain = e.join(ends, key, "left").filter("a IS NULL OR e1 < a OR e0 > b")
+    return coded.unionByName(plain.select(key, F.col("e0").alias("start_pos"), F.col("e1").alias("end_pos"), none.alias("cds_start"), none.alias("cds_end")))
+
+
+def with_flank(genes: DataFrame, sequences: DataFrame, flank: float = 0.0) -> DataFrame:
+    """(id, start_pos, end_pos, seq): each gene's bases with a share of its length more on
+    both sides, within its sequence; ``sequences`` is (seqid, seq)."""
+    more = F.floor(length() * flank)
+    own = genes.join(sequences, "seqid").select(
+        "id", F.greatest(F.lit(1), F.col("start_pos") - more).alias("start_pos"), F.least(F.length("seq"), F.col("end_pos") + more).alias("end_pos"), "seq")
+    part = F.substring(F.col("seq"), F.col("start_pos").cast("int"), F.greatest(F.lit(0), length()).cast("int"))
+    return own.select("id", "start_pos", "end_pos", part.alias("seq"))

@@ -25,6 +25,34 @@ def exact() -> Criterion:
     return lambda acc, cur, parts: acc["start_pos"] == cur["start_pos"] and acc["end_pos"] == cur["end_pos"]
 
 
+def reaches_back() -> Criterion:
+    """The candidate ends within the running one, or just before it."""
+    return lambda acc, cur, parts: acc["start_pos"] - 1 <= cur["end_pos"] <= acc["end_pos"]
+
+
+def either(*criteria: Criterion) -> Criterion:
+    return lambda acc, cur, parts: any(c(acc, cur, parts) for c in criteria)
+
+
+def touches() -> Criterion:
+    """Overlap or contact on either side."""
+    return either(reaches(), reaches_back())
+
+
+def near_end(distance: int) -> Criterion:
+    """The candidate begins at most so far from the end that was reached, on either side."""
+    return lambda acc, cur, parts: -distance <= cur["start_pos"] - acc["end_pos"] <= distance
+
+
+def near_start(distance: int) -> Criterion:
+    """The candidate ends at most so far from where the running one begins."""
+    return lambda acc, cur, parts: -distance <= cur["end_pos"] - acc["start_pos"] <= distance
+
+
+def near(distance: int) -> Criterion:
+    return either(near_end(distance), near_start(distance))
+
+
 DEFAULT = (same("seqid"), reaches(), same("strand"), same("featuretype"))
 
 

@@ -119,3 +119,21 @@ def half_open_probe(left: DataFrame, right: DataFrame) -> DataFrame:
     q = left.filter("q_end > q_start").withColumn("q_end", F.col("q_end") - 1)
     f = right.filter("end_pos > start_pos").withColumn("end_pos", F.col("end_pos") - 1)
     return iv.overlap_join(q, f).withColumn("q_end", F.col("q_end") + 1).withColumn("end_pos", F.col("end_pos") + 1)
+
+
+def converted(children: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
+    """Children (key, id, start_pos, end_pos in the query) in the coordinates of their
+    chain's blocks (key, query_start, query_end, target_start, target_end): from the first
+    to the last base that a block holds, with ``covered``, the bases that blocks hold, and
+    ``coverage``, their share.  Children that no block touches are left out."""
+    met = children.join(blocks, key).filter("query_start <= end_pos AND query_end >= start_pos")
+    a = F.greatest("start_pos", "query_start") - F.col("query_start")
+    b = F.least("end_pos", "query_end") - F.col("query_start")
+    out = met.groupBy(key, "id", "start_pos", "end_pos").agg(F.min(F.col("target_start") + a).alias("lifted_start"), F.max(F.col("target_start") + b).alias("lifted_end"), F.sum(b - a + 1).alias("covered"))
+    return out.withColumn("coverage", F.col("covered") / iv.length())
+
+
+def chain_identity(total: Column, insertions: Column, mismatches: Column, deletions: Column) -> Column:
+    """Identity of a lifted gene: aligned columns less insertions, mismatches and deletions."""
+    columns = total + insertions
+    return (columns - insertions - mismatches - deletions) / F.nullif(columns, F.lit(0))

@@ -163,3 +163,31 @@ def create_store(spark: SparkSession, path: str | DataFrame, infer_transcripts:
         return FeatureStore(features, max_depth, stage(linked(features), "edges"))
     features, pairs = gff3_models(rows)
     return FeatureStore(stage(features, "features"), max_depth, stage(pairs, "edges"))
+
+
+def annotation_scan(features: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(fact, name, n): features of each kind and sequence, ids found twice or more, parts
+    of one CDS among them, and parents that are missing."""
+    def fact(name: str, df: DataFrame, column: str) -> DataFrame:
+        return df.groupBy(F.col(column).alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("fact"), "name", "n")
+
+    ids = features.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("featuretype") == "CDS").alias("cds")).filter("n > 1")
+    twice = ids.select(F.when(F.col("cds"), "discontinuous_cds").otherwise("duplicate_id").alias("fact"), F.col("id").alias("name"), "n")
+    lost = pairs.join(features.select(F.col("id").alias("parent")), "parent", "left_anti")
+    return fact("featuretype", features, "featuretype").unionByName(fact("seqid", features, "seqid")).unionByName(twice).unionByName(fact("orphan_parent", lost, "parent"))
+
+
+def read_list(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """The columns c0, c1 of a list file (sequence pairs, kinds of features, unplaced
+    sequences): lines that are empty or begin with # are left out."""
+    lines = spark.read.text(path).select(F.trim("value").alias("value")).filter("value <> '' AND value NOT LIKE '#%'")
+    p = F.split("value", sep)
+    return lines.select(F.trim(F.get(p, F.lit(0))).alias("c0"), F.trim(F.get(p, F.lit(1))).alias("c1"))
+
+
+def from_string(spark: SparkSession, text: str | bytes) -> DataFrame:
+    """Lines (file_order, value) of an annotation in memory, up to ``##FASTA``."""
+    text = text.decode("utf-8", "replace") if isinstance(text, bytes) else text
+    lines = text.splitlines()
+    stop = next((i for i, x in enumerate(lines) if x.startswith("##FASTA")), len(lines))
+    return spark.createDataFrame(list(enumerate(lines[:stop])), "file_order long, value string")

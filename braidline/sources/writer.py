@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import percent_encode
+from ..store import FeatureStore
 
 #: Directives that say something of the assembly they were written for.
 BOUND = ("##sequence-region", "##genome-build", "##species", "#!genome-build", "#!genome-version", "#!genome-date", "#!genebuild")
@@ -88,3 +91,48 @@ def run_manifest(parts: dict[str, DataFrame]) -> DataFrame:
         row = df.select(F.xxhash64(*df.columns).alias("h")).agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("fingerprint"))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def publish(df: DataFrame, path: str, check: Callable[[DataFrame], bool] | None = None) -> None:
+    """Write Parquet so that ``path`` has all of it or none: beside it first, then renamed.
+
+    What fails, or does not pass ``check`` (given the written table), is left at
+    ``path.partial`` for a look.
+    """
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    beside, final = jvm.org.apache.hadoop.fs.Path(f"{path}.partial"), jvm.org.apache.hadoop.fs.Path(path)
+    fs = final.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(final):
+        raise FileExistsError(path)
+    df.write.mode("overwrite").parquet(f"{path}.partial")
+    if check is not None and not check(spark.read.parquet(f"{path}.partial")):
+        raise ValueError(f"{path}.partial does not pass its check")
+    if not fs.rename(beside, final):
+        raise OSError(f"cannot rename {path}.partial")
+
+
+def export_sqlite(store: FeatureStore, path: str, batch: int = 50_000) -> None:
+    """A SQLite file of the driver: features with their bins, and relations with levels.
+
+    Rows are fetched partition by partition and written ``batch`` at a time.
+    """
+    import sqlite3
+
+    from ..operators.interval import ucsc_bin
+
+    names = ["id", "seqid", "featuretype", "start_pos", "end_pos", "strand"]
+    with sqlite3.connect(path) as con:
+        con.execute("CREATE TABLE features (id TEXT, seqid TEXT, featuretype TEXT, start INT, end INT, strand TEXT, bin INT)")
+        con.execute("CREATE TABLE relations (parent TEXT, child TEXT, level INT)")
+        for sql, df in (("INSERT INTO features VALUES (?, ?, ?, ?, ?, ?, ?)", store.features.select(*names, ucsc_bin().alias("bin"))), ("INSERT INTO relations VALUES (?, ?, ?)", store.closure.select("ancestor", "descendant", "depth"))):
+            rows: list[tuple] = []
+            for row in df.toLocalIterator():
+                rows.append(tuple(row))
+                if len(rows) >= batch:
+                    con.executemany(sql, rows)
+                    rows = []
+            con.executemany(sql, rows)
+        con.execute("CREATE INDEX feature_bin ON features (seqid, bin, start, end)")
+        con.execute("CREATE INDEX relation_parent ON relations (parent, level)")
+    con.close()

@@ -7,7 +7,8 @@ and, if the source has an order, file_order.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from collections.abc import Callable, Iterable, Iterator
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -88,7 +89,14 @@ class FeatureStore:
             out = out.filter(F.col("_key") > seen.scalar())
         return out.orderBy("_key").limit(n).drop("_key")
 
-    def region(self, seqid: str, start: int | None = None, end: int | None = None, within: bool = False) -> DataFrame:
+    def region(self, seqid: str | tuple | Row, start: int | None = None, end: int | None = None, within: bool = False) -> DataFrame:
+        """Features of a place: a sequence with bounds, ``seqid:start-end``, a tuple or a feature."""
+        if isinstance(seqid, Row):
+            seqid, start, end = seqid["seqid"], seqid["start_pos"], seqid["end_pos"]
+        elif isinstance(seqid, tuple):
+            seqid, start, end = (*seqid, None, None)[:3]
+        elif start is None and end is None and (place := re.fullmatch(r"(.+):(\d+)-(\d+)", seqid)):
+            seqid, start, end = place[1], int(place[2]), int(place[3])
         return iv.region(self.features, seqid, start, end, within)
 
     def region_batched(self, regions: DataFrame, within: bool = False, featuretype: str | None = None) -> DataFrame:
@@ -161,9 +169,27 @@ class FeatureStore:
         """With more features; their parents become edges too."""
         return FeatureStore(self.features.unionByName(more), self.max_depth, self.edges.unionByName(graph.edges(more)))
 
-    def add_relation(self, parent: str, child: str) -> FeatureStore:
+    def add_relation(self, parent: str, child: str, parent_func: Callable[[DataFrame], DataFrame] | None = None, child_func: Callable[[DataFrame], DataFrame] | None = None) -> FeatureStore:
+        """With one more edge; the functions may change the row of either feature."""
+        own = self.features
+        for id_, change in ((parent, parent_func), (child, child_func)):
+            if change is not None:
+                own = own.filter(F.col("id") != id_).unionByName(change(own.filter(F.col("id") == id_)))
         pair = self.edges.sparkSession.createDataFrame([(parent, child)], "parent string, child string")
-        return FeatureStore(self.features, self.max_depth, self.edges.unionByName(pair))
+        return FeatureStore(own, self.max_depth, self.edges.unionByName(pair))
+
+    def transform(self, change: Callable[[DataFrame], DataFrame]) -> FeatureStore:
+        """With the features as ``change`` gives them; edges of those that are gone go too."""
+        own = change(self.features)
+        return FeatureStore(own, self.max_depth, self.edges.join(own.select(F.col("id").alias("child")), "child", "left_semi").select("parent", "child"))
+
+    def by_parent(self, parent_type: str, child_type: str | None = None) -> Iterator[tuple[Row, list[Row]]]:
+        """Every feature of a kind with its children, parent by parent, in order of start."""
+        up = self.features.filter(F.col("featuretype") == parent_type)
+        kids = self.children(up.select(F.col("id").alias("anchor")), level=1, featuretype=child_type)
+        lists = kids.groupBy(F.col("anchor").alias("id")).agg(F.collect_list(F.struct(*self.features.columns)).alias("_kids"))
+        for r in up.join(lists, "id", "left").orderBy("seqid", "start_pos", "id").toLocalIterator():
+            yield r, sorted(r["_kids"] or (), key=lambda k: (k["start_pos"], k["end_pos"], k["id"]))
 
     def execute(self, sql: str) -> DataFrame:
         """SQL over features, edges and closure; they are views of this call only."""
