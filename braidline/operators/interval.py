@@ -76,23 +76,78 @@ def overlap_join(left: DataFrame, right: DataFrame, bin_bits: int = 9) -> DataFr
     return met[0].unionByName(met[1])
 
 
-def islands(df: DataFrame, keys: list[str], adjacent: bool = True) -> DataFrame:
+def _attached(df: DataFrame, heads: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Add the column ``name`` of a table with a row for each stretch; null keys are equal."""
+    by = [*keys, "_at"]
+    named = heads.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(by)), name)
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(by)]
+    return df.join(named, same).drop(*(f"_k{i}" for i in range(len(by))))
+
+
+def _before(df: DataFrame, keys: list[str], head: Column, name: str) -> DataFrame:
+    """Add ``name``: the greatest ``head`` of all earlier stretches of the row's keys.  The
+    window is over a row for each stretch, not over the rows."""
+    heads = df.groupBy(*keys, "_at").agg(head.alias("_head"))
+    w = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    return _attached(df, heads.select(*keys, "_at", F.max("_head").over(w).alias(name)), keys, name)
+
+
+def islands(df: DataFrame, keys: list[str], adjacent: bool = True, bits: int | None = None) -> DataFrame:
     """Union of overlapping intervals for each combination of keys.
 
     With ``adjacent`` intervals that touch end to start join too; without, only
-    those that share a base.
+    those that share a base.  With ``bits``, keys of very many rows (whole sequences) are
+    worked on in stretches of 2^bits bases; how far earlier stretches reach, and where
+    their last island begins, is carried to the later ones.  An island is told by its
+    start (column ``island``).
     """
-    w = Window.partitionBy(*keys).orderBy("start_pos", "end_pos")
-    reach = F.max("end_pos").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(F.col("start_pos") <= reach + (1 if adjacent else 0), 0).otherwise(1)
-    return df.withColumn("_new", new).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*keys, "island").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.count(F.lit(1)).alias("n_parts"))
-
-
-def gaps(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Gaps of one base or more between neighbours in start order (introns of exons)."""
-    w = Window.partitionBy(*keys).orderBy("start_pos", "end_pos")
-    out = df.withColumn("gap_start", F.col("end_pos") + 1).withColumn("gap_end", F.lead("start_pos").over(w) - 1)
-    return out.filter(F.col("gap_end") >= F.col("gap_start"))
+    touch = 1 if adjacent else 0
+    own = df.withColumn("_at", F.lit(0) if bits is None else F.shiftright(F.col("start_pos").cast("long"), bits))
+    by = [*keys, "_at"]
+    w = Window.partitionBy(*by).orderBy("start_pos", "end_pos")
+    before, so_far = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.max("end_pos").over(before)
+    if bits is not None:
+        own = _before(own, keys, F.max("end_pos"), "_far")
+        reach = F.greatest(reach, F.col("_far"))
+    own = own.withColumn("_reach", reach)
+    own = own.withColumn("_new", F.when(F.coalesce(F.col("start_pos") <= F.col("_reach") + touch, F.lit(False)), None).otherwise(F.col("start_pos")))
+    start = F.max("_new").over(so_far)
+    if bits is not None:
+        own = _before(own, keys, F.max("_new"), "_open")
+        start = F.coalesce(start, F.col("_open"))
+    own = own.withColumn("island", start)
+    return own.groupBy(*keys, "island").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.count(F.lit(1)).alias("n_parts"))
+
+
+def gaps(df: DataFrame, keys: list[str], bits: int | None = None) -> DataFrame:
+    """Gaps of one base or more between neighbours in start order (introns of exons).
+
+    With ``bits``, in stretches of 2^bits bases, the last of which looks at the first
+    start of the next.
+    """
+    own = df.withColumn("_at", F.lit(0) if bits is None else F.shiftright(F.col("start_pos").cast("long"), bits))
+    w = Window.partitionBy(*keys, "_at").orderBy("start_pos", "end_pos")
+    following = F.lead("start_pos").over(w)
+    if bits is not None:
+        heads = own.groupBy(*keys, "_at").agg(F.min("start_pos").alias("_head"))
+        later = F.lead("_head").over(Window.partitionBy(*keys).orderBy("_at"))
+        own = _attached(own, heads.select(*keys, "_at", later.alias("_next")), keys, "_next")
+        following = F.coalesce(following, F.col("_next"))
+    out = own.withColumn("gap_start", F.col("end_pos") + 1).withColumn("gap_end", following - 1)
+    return out.filter(F.col("gap_end") >= F.col("gap_start")).drop("_at", "_next")
+
+
+def neighbor(df: DataFrame, keys: list[str], order: list[str], value: str, bits: int) -> DataFrame:
+    """Add ``before``: the value of the row before in order (which begins with start_pos), in
+    stretches of 2^bits bases."""
+    own = df.withColumn("_at", F.shiftright(F.col("start_pos").cast("long"), bits))
+    last = own.groupBy(*keys, "_at").agg(F.max(F.struct(*order, F.col(value).alias("_value"))).alias("_last"))
+    earlier = F.lag("_last").over(Window.partitionBy(*keys).orderBy("_at"))
+    own = _attached(own, last.select(*keys, "_at", earlier.alias("_earlier")), keys, "_earlier")
+    w = Window.partitionBy(*keys, "_at").orderBy(*order)
+    place = F.row_number().over(w)
+    return own.withColumn("before", F.when(place == 1, F.col("_earlier._value")).otherwise(F.lag(value).over(w))).drop("_at", "_earlier")
 
 
 def splice_sites(introns: DataFrame) -> DataFrame:

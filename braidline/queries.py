@@ -18,6 +18,8 @@ from .sources.model import ANNOTATION_SQL, exons, features, table
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Whole sequences are worked on in stretches of this many bits of bases.
+STRETCH = 12
 SPAN = ["id", "seqid", "start_pos", "end_pos", "strand"]
 
 
@@ -161,7 +163,7 @@ fl AS (SELECT *, CASE WHEN start_pos <= reach + 1 THEN 0 ELSE 1 END AS nw FROM p
 isl AS (SELECT *, sum(nw) OVER (PARTITION BY seqid, strand ORDER BY start_pos, end_pos ROWS UNBOUNDED PRECEDING) AS k FROM fl)
 SELECT seqid, strand, min(start_pos) AS start_pos, max(end_pos) AS end_pos, count(*) AS n_parts FROM isl GROUP BY seqid, strand, k""")
 def op_merge_default(spark: SparkSession, d: str) -> DataFrame:
-    return iv.islands(features(spark, d).filter("featuretype = 'exon'"), ["seqid", "strand"]).drop("island")
+    return iv.islands(features(spark, d).filter("featuretype = 'exon'"), ["seqid", "strand"], bits=STRETCH).drop("island")
 
 
 @query("""
@@ -188,7 +190,7 @@ def op_splice_sites(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT seqid, end_pos + 1 AS gap_start, nxt - 1 AS gap_end FROM (SELECT seqid, end_pos, lead(start_pos) OVER (PARTITION BY seqid ORDER BY start_pos, end_pos) AS nxt FROM f WHERE featuretype = 'gene') WHERE nxt - 1 >= end_pos + 1")
 def op_interfeatures(spark: SparkSession, d: str) -> DataFrame:
-    return iv.gaps(features(spark, d).filter("featuretype = 'gene'"), ["seqid"]).select("seqid", "gap_start", "gap_end")
+    return iv.gaps(features(spark, d).filter("featuretype = 'gene'"), ["seqid"], bits=STRETCH).select("seqid", "gap_start", "gap_end")
 
 
 @query("""
@@ -369,8 +371,8 @@ def op_prf(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT id, lag(id) OVER (PARTITION BY seqid ORDER BY start_pos, end_pos, id) AS upstream FROM gene")
 def op_upstream_neighbor(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("seqid").orderBy("start_pos", "end_pos", "id")
-    return features(spark, d).filter("featuretype = 'gene'").select("id", F.lag("id").over(w).alias("upstream"))
+    genes = features(spark, d).filter("featuretype = 'gene'").select("seqid", "start_pos", "end_pos", "id")
+    return iv.neighbor(genes, ["seqid"], ["start_pos", "end_pos", "id"], "id", STRETCH).select("id", F.col("before").alias("upstream"))
 
 
 PAIRS_SQL = "WITH p AS (SELECT l_partkey AS source, l_suppkey AS target, round(sum(l_quantity), 2) AS score FROM lineitem GROUP BY ALL)"

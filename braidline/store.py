@@ -145,7 +145,7 @@ class FeatureStore:
     # interval algebra
 
     def merge(self, featuretype: str) -> DataFrame:
-        return iv.islands(self.features.filter(F.col("featuretype") == featuretype), ["seqid", "strand", "featuretype"])
+        return iv.islands(self.features.filter(F.col("featuretype") == featuretype), ["seqid", "strand", "featuretype"], bits=20)
 
     def introns(self, child: str = "exon") -> DataFrame:
         return iv.gaps(self.features.filter(F.col("featuretype") == child), ["parent"])
