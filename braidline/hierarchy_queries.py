@@ -593,3 +593,26 @@ def op_paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 
     pairs = table(spark, d, "lineitem").select("l_returnflag", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("key"), (F.col("l_discount") - F.col("l_tax")).alias("delta"))
     return paired_bootstrap(pairs, "l_returnflag", "key", "delta", 200)
+
+
+@query()
+def op_greedy_admission(spark: SparkSession, d: str) -> DataFrame:
+    """Exons of one flag as candidates, taken in order of place (a fold: no SQL)."""
+    from .operators.fusion import admit
+
+    return admit(exons(spark, d).filter("flag = 'R' AND start_pos % 3 = 0"))
+
+
+@query()
+def op_chained_models(spark: SparkSession, d: str) -> DataFrame:
+    """Two models of each transcript's exons, chained chunk by chunk (a walk of both: no SQL)."""
+    from .operators.chaining import MODEL, chained
+
+    parts = exons(spark, d).groupBy("parent").agg(F.sort_array(F.collect_list(F.struct(F.col("start_pos").alias("a"), F.col("end_pos").alias("b")))).alias("p"))
+    edges = "transform(sequence(0, size(p)), i -> CAST(3 * i AS DOUBLE))"
+
+    def model(letter: str, every: int) -> DataFrame:
+        target = f"array_join(transform(p, x -> CASE WHEN x.a % {every} = 0 THEN 'MKA' ELSE 'M{letter}{letter}' END), '')"
+        return parts.selectExpr("parent", f"CAST(named_struct('parts', p, 'reference', repeat('MKA', size(p)), 'target', {target}, 'edges', {edges}) AS {MODEL}) AS model")
+
+    return chained(model("X", 2), model("Y", 3).filter("parent LIKE '%1'"), "parent")

@@ -3,8 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MODEL = "struct<parts:array<struct<a:bigint,b:bigint>>,reference:string,target:string,edges:array<double>>"
+
 
 @dataclass
 class Model:
@@ -72,3 +79,27 @@ def chain(lift: Model | None, protein: Model | None) -> tuple[list[tuple[int, in
             chosen.append("lift")
         i, j = a, b
     return parts, chosen
+
+
+def _model(row: dict | None) -> Model | None:
+    if row is None:
+        return None
+    return Model([(p["a"], p["b"]) for p in row["parts"]], row["reference"], row["target"], row["edges"])
+
+
+def chained(lifts: DataFrame, proteins: DataFrame, key: str) -> DataFrame:
+    """(key, parts, chosen) for transcripts with a lifted model, a protein model or both
+    (columns key and ``model``, of the type ``MODEL``)."""
+    kind = lifts.schema[key].dataType.simpleString()
+    chosen = pa.list_(pa.string())
+    pairs = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [chain(_model(x), _model(y)) for x, y in zip(batch.column("lift").to_pylist(), batch.column("protein").to_pylist())]
+            parts = pa.array([[{"a": a, "b": b} for a, b in g[0]] for g in got], pairs)
+            yield pa.RecordBatch.from_arrays([batch.column("k"), parts, pa.array([g[1] for g in got], chosen)], ["k", "parts", "chosen"])
+
+    both = lifts.select(F.col(key).alias("k"), F.col("model").cast(MODEL).alias("lift")).join(proteins.select(F.col(key).alias("k"), F.col("model").cast(MODEL).alias("protein")), "k", "full")
+    out = both.select("k", "lift", "protein").mapInArrow(run, f"k {kind}, parts array<struct<a:bigint,b:bigint>>, chosen array<string>")
+    return out.withColumnRenamed("k", key)

@@ -6,32 +6,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.graph import settled
+from ..plans.graph import components
 
 
 def connected(pairs: DataFrame) -> DataFrame:
-    """(source, target, component): the least node name reachable.
-
-    In each round every node points at the least of itself and its neighbours,
-    pointers are followed once more, and links are drawn between what their ends
-    point at, until none is left: about log(longest path) rounds.
-    """
+    """(source, target, component): the least node name reachable."""
     named = pairs.select(F.concat(F.lit("s"), "source").alias("a"), F.concat(F.lit("t"), "target").alias("b"))
-    links, label = named, None
-    while True:
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = settled(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("to")))
-        step = settled(least.join(least.select(F.col("a").alias("to"), F.col("to").alias("l")), "to").select("a", "l"))
-        if label is None:
-            label = step
-        else:
-            label = settled(label.join(step.select(F.col("a").alias("l"), F.col("l").alias("next")), "l", "left").select("a", F.coalesce("next", "l").alias("l")))
-        ends = [step.select(F.col("a").alias(c), F.col("l").alias(f"l{c}")) for c in "ab"]
-        moved = links.join(ends[0], "a").join(ends[1], "b").filter("la <> lb")
-        links = settled(moved.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
-        if links.isEmpty():
-            break
-    return pairs.join(label.select(F.expr("substring(a, 2)").alias("source"), F.col("l").alias("component"), F.col("a").alias("_a")).filter("_a LIKE 's%'").drop("_a"), "source")
+    label = components(named).filter("node LIKE 's%'").select(F.expr("substring(node, 2)").alias("source"), "component")
+    return pairs.join(label, "source")
 
 
 def augmenting(edges: list[tuple[str, str]]) -> dict[str, str]:

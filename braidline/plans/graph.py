@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stage import stage
+
 
 def edges(features: DataFrame) -> DataFrame:
     """(parent, child); a bag, as the input has them."""
@@ -29,8 +31,31 @@ def closure(pairs: DataFrame, max_depth: int = 8) -> DataFrame:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df``, computed once: in the checkpoint folder, where one is set, or in memory."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) is not None else df.persist()
+    """``df``, computed once: a stage table in the shared folder."""
+    return stage(df, "settled")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, component) for the nodes of links (a, b): the least node reachable.
+
+    In each round every node points at the least of itself and its neighbours, pointers
+    are followed once more, and links are drawn between what their ends point at, until
+    none is left: about log(longest path) rounds.
+    """
+    links, label = links.select("a", "b"), None
+    while True:
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = settled(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to")))
+        step = settled(least.join(least.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").select("node", F.col("next").alias("component")))
+        if label is None:
+            label = step
+        else:
+            label = settled(label.join(step.select(F.col("node").alias("component"), F.col("component").alias("next")), "component", "left").select("node", F.coalesce("next", "component").alias("component")))
+        ends = [step.select(F.col("node").alias(c), F.col("component").alias(f"l{c}")) for c in "ab"]
+        moved = links.join(ends[0], "a").join(ends[1], "b").filter("la <> lb")
+        links = settled(moved.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
+        if links.isEmpty():
+            return label
 
 
 def walk(anchors: DataFrame, pairs: DataFrame, reached: DataFrame, depth: int, bound: int, up: bool = False) -> DataFrame:
