@@ -112,9 +112,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     the least hash is taken; of rows that are equal in every column one stays.  All
     columns stay, whatever their names; an empty table gives no rows.
     """
-    mark, order = free_name(docs, "mark"), free_name(docs, "order")
-    marked = docs.withColumn(mark, F.struct(F.xxhash64(*docs.columns).alias("x"), F.xxhash64(F.lit(1), *docs.columns).alias("y")))
-    place = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(mark).alias("mark"))
+    x, y, order = (free_name(docs, c) for c in ("x", "y", "order"))
+    marked = docs.withColumns({x: F.xxhash64(*docs.columns), y: F.xxhash64(F.lit(1), *docs.columns)})
+    place = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(x).alias("x"), F.col(y).alias("y"))
     own = stage_table(fingerprints(marked.select(place.alias(order), text), order, text), "fingerprints")
-    first = grouped(own.groupBy("fp").agg(F.min("k").alias("id"))).select(F.col("component_id.mark").alias(mark)).distinct()
-    return marked.join(stage_table(first, "kept"), mark, "left_semi").dropDuplicates([mark]).drop(mark)
+    first = grouped(own.groupBy("fp").agg(F.min("k").alias("id"))).select(F.col("component_id.x").alias(x), F.col("component_id.y").alias(y)).distinct()
+    return marked.join(stage_table(first, "kept"), [x, y], "left_semi").dropDuplicates([x, y]).drop(x, y)
