@@ -616,3 +616,28 @@ def op_chained_models(spark: SparkSession, d: str) -> DataFrame:
         return parts.selectExpr("parent", f"CAST(named_struct('parts', p, 'reference', repeat('MKA', size(p)), 'target', {target}, 'edges', {edges}) AS {MODEL}) AS model")
 
     return chained(model("X", 2), model("Y", 3).filter("parent LIKE '%1'"), "parent")
+
+
+@query("""WITH t AS (SELECT l_orderkey * 10 + l_linenumber AS line, l_partkey % 7 AS k, l_quantity AS q, l_suppkey FROM lineitem)
+SELECT 'bad_column_count' AS rule, line FROM t WHERE k = 0 UNION ALL SELECT 'start_gt_end', line FROM t WHERE k = 1 UNION ALL SELECT 'negative_start', line FROM t WHERE k = 2 UNION ALL SELECT 'bad_strand', line FROM t WHERE k = 3
+UNION ALL SELECT 'cds_missing_phase', line FROM t WHERE k = 4 UNION ALL SELECT 'bad_attribute', line FROM t WHERE k = 5 UNION ALL SELECT 'miscapitalised_attribute', line FROM t WHERE k = 6 UNION ALL SELECT 'unencoded_reserved_char', line FROM t WHERE k = 6
+UNION ALL SELECT 'unknown_seqid', line FROM t WHERE k <> 0 AND l_suppkey % 3 = 0""", view=False)
+def op_line_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as lines of a file, each with something wrong."""
+    k = F.col("l_partkey") % 7
+    pick = lambda n, bad, good: F.when(k == n, bad).otherwise(good)
+    fields = [F.concat(F.lit("chr"), F.col("l_suppkey").cast("string")), F.lit("x"), pick(4, "CDS", "exon"), F.when(k == 2, "0").when(k == 1, "90").otherwise("5"), F.lit("50"), F.lit("."), pick(3, "*", "+"), F.lit("."),
+              F.when(k == 5, "ID=a;oops").when(k == 6, "ID=a;PARENT=b&c").otherwise("ID=a")]
+    value = F.when(k == 0, F.concat_ws("\t", *fields[:8])).otherwise(F.concat_ws("\t", *fields))
+    known = table(spark, d, "supplier").filter("s_suppkey % 3 <> 0").select(F.concat(F.lit("chr"), F.col("s_suppkey").cast("string")).alias("seqid"))
+    return validate.lines(table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), value.alias("value")), known)
+
+
+@query()
+def op_assessed_transcripts(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items as transcripts against the items after them (alignments: no SQL)."""
+    from .operators.assess import assessed
+
+    own = table(spark, d, "benchmark").select("item_id", F.translate(F.lower(F.regexp_replace("text", "[^A-Za-z]", "")), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC").alias("dna"))
+    after = own.select((F.col("item_id") - 1).alias("item_id"), F.col("dna").alias("ref_dna"), sq.translate(F.col("dna")).alias("ref_protein"))
+    return assessed(own.join(after, "item_id"), "item_id").drop("classes", "frame_start", "frame_end", "frame_identity")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import graph
@@ -103,3 +103,48 @@ def score_attributes(features: DataFrame, names: tuple[str, ...] = ("protein_ide
         out.append(_finding(f"{name}_invalid", features.filter(value.isNotNull() & ~F.coalesce(number.between(0, 1), F.lit(False)))))
         out.append(_finding(f"{name}_missing", features.filter(F.col("featuretype").isin(*TRANSCRIPTS) & value.isNull())))
     return reduce(DataFrame.unionByName, out)
+
+
+#: Attribute names that the format defines.
+OFFICIAL = ("ID", "Name", "Alias", "Parent", "Target", "Gap", "Derives_from", "Note", "Dbxref", "Ontology_term", "Is_circular")
+
+
+def lines(rows: DataFrame, seqids: DataFrame | None = None) -> DataFrame:
+    """(rule, line) findings on the text of a file (columns line, from 1, and value).
+
+    Version line, byte order mark, number of columns, places, strand, phase, and the
+    attributes: pairs, empty ids and parents, capitals, characters that should be
+    encoded; with ``seqids`` (seqid), sequences that are not listed.
+    """
+    own = rows.withColumn("p", F.split(F.regexp_replace("value", "\r$", ""), "\t"))
+    text = F.trim("value")
+    feature = own.filter((text != "") & ~F.col("value").startswith("#"))
+    whole = feature.filter(F.size("p") == 9).select("line", *(F.get("p", F.lit(i)).alias(c) for i, c in enumerate(("seqid", "source", "kind", "a", "b", "score", "strand", "phase", "attributes"))))
+    a, b = F.expr("try_cast(a AS BIGINT)"), F.expr("try_cast(b AS BIGINT)")
+    pairs = whole.select("line", F.explode(F.split("attributes", ";")).alias("t")).withColumn("t", F.trim("t")).filter("t <> '' AND t <> '.'")
+    named = pairs.filter(F.contains("t", F.lit("="))).select("line", F.trim(F.substring_index("t", "=", 1)).alias("k"), F.regexp_extract("t", "=(.*)$", 1).alias("v"))
+
+    def found(rule: str, rows: DataFrame, condition: Column) -> DataFrame:
+        return rows.filter(condition).select(F.lit(rule).alias("rule"), "line")
+
+    out = [
+        found("utf8_bom", own, (F.col("line") == 1) & F.col("value").startswith("\ufeff")),
+        found("missing_gff_version", own, (F.col("line") == 1) & ~F.regexp_replace("value", "^\ufeff", "").startswith("##gff-version")),
+        found("bad_column_count", feature, F.size("p") != 9),
+        found("empty_seqid", whole, F.col("seqid") == ""),
+        found("bad_coordinate", whole, a.isNull() | b.isNull()),
+        found("negative_start", whole, a < 1),
+        found("negative_end", whole, b < 1),
+        found("start_gt_end", whole, a > b),
+        found("bad_strand", whole, ~F.col("strand").isin("+", "-", ".", "?")),
+        found("bad_phase", whole, ~F.col("phase").isin("0", "1", "2", ".")),
+        found("cds_missing_phase", whole, (F.col("kind") == "CDS") & (F.col("phase") == ".")),
+        found("bad_attribute", pairs, ~F.contains("t", F.lit("="))),
+        found("empty_id", named, (F.col("k") == "ID") & (F.trim("v") == "")),
+        found("empty_parent", named, (F.col("k") == "Parent") & F.exists(F.split("v", ","), lambda x: F.trim(x) == "")),
+        found("miscapitalised_attribute", named, ~F.col("k").isin(*OFFICIAL) & F.col("k").rlike("^[A-Z]") & F.lower("k").isin(*(k.lower() for k in OFFICIAL))),
+        found("unencoded_reserved_char", named, F.col("v").rlike("[=&]")),
+    ]
+    if seqids is not None:
+        out.append(found("unknown_seqid", whole.filter("seqid <> ''").join(seqids, "seqid", "left_anti"), F.lit(True)))
+    return reduce(DataFrame.unionByName, out)

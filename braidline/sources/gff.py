@@ -18,7 +18,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """
     lines = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("file_order"))
     fasta = lines.filter(F.col("value").startswith("##FASTA")).groupBy("file").agg(F.min("file_order").alias("cut"))
-    return lines.join(F.broadcast(fasta), "file", "left").filter(F.col("cut").isNull() | (F.col("file_order") < F.col("cut"))).drop("cut")
+    return lines.join(fasta, "file", "left").filter(F.col("cut").isNull() | (F.col("file_order") < F.col("cut"))).drop("cut")
 
 
 def directives(lines: DataFrame) -> DataFrame:
@@ -37,7 +37,8 @@ def parse_rows(lines: DataFrame) -> DataFrame:
         .when(((F.col("start_pos") != ".") & start.isNull()) | ((F.col("end_pos") != ".") & end.isNull()) | (start < 1) | (end < start), "InvalidCoordinate")
         .when(~F.col("strand").isin("+", "-", "?", "."), "InvalidStrand")
         .when(~F.col("frame").isin("0", "1", "2", ".") | ((F.col("featuretype") == "CDS") & (F.col("frame") == ".")), "InvalidPhase")
-        .when((F.col("score") != ".") & F.expr("try_cast(score AS DOUBLE)").isNull(), "InvalidScore")
+        .when(~F.col("score").isin("", ".") & F.expr("try_cast(score AS DOUBLE)").isNull(), "InvalidScore")
+        .when(~F.trim("attributes").isin("", ".") & ~F.col("attributes").rlike(r'=|"[^"]*"'), "InvalidAttribute")
     )
     return own.withColumn("error_kind", bad).withColumn("start_pos", start).withColumn("end_pos", end).drop("p")
 
@@ -49,11 +50,19 @@ def attribute_rows(rows: DataFrame, key: str, attributes: str = "attributes") ->
     return named.select(key, "name", F.posexplode(F.split("v", ",")).alias("idx", "value")).withColumn("value", percent_decode(F.col("value")))
 
 
-def gtf_attributes(column: Column) -> Column:
-    """Names and quoted values of a GTF ninth column as a map."""
-    names = F.regexp_extract_all(column, F.lit(r'(\w+)\s+"([^"]*)"'), F.lit(1))
-    values = F.regexp_extract_all(column, F.lit(r'(\w+)\s+"([^"]*)"'), F.lit(2))
-    return F.map_from_entries(F.filter(F.arrays_zip(names, values), lambda x: x["0"].isNotNull()))
+class BadRows(ValueError):
+    """A strict scan met rows that cannot be read."""
+
+
+def scan(rows: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The good rows of ``parse_rows``, and (file_order, error_kind) of the others.
+
+    A strict scan raises BadRows if there are any, naming the first few.
+    """
+    bad = rows.filter("error_kind IS NOT NULL").select("file_order", "error_kind")
+    if strict and (some := bad.orderBy("file_order").limit(5).collect()):
+        raise BadRows(", ".join(f"{r['error_kind']} at {r['file_order']}" for r in some))
+    return rows.filter("error_kind IS NULL").drop("error_kind"), bad
 
 
 def gff_line(features: DataFrame, source: str = "braidline") -> DataFrame:
