@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import free_name, stage_table
 
 
 @dataclass(frozen=True)
@@ -132,8 +132,9 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", ledge
     """Findings of every row: counts of the base kinds, a digest of the base spans, all spans.
 
     Null texts are empty; empty texts have no findings; rows with equal texts have
-    equal findings, whatever their keys; null keys stay null; an empty table gives
-    no rows.
+    equal findings, whatever their keys; spans that begin at one place are listed in the
+    order of the rules; a text of any length is searched whole, its matches as one array;
+    null keys stay null; other columns are left out; an empty table gives no rows.
     """
     found = stage_table(current_spans(update_ledger(docs, text, ledger)), "findings")
     paths = content_address(docs.select(F.col(key).alias("k"), F.col(text).alias("text")), "text").select("k", "blob")
@@ -149,16 +150,21 @@ def _of_kind(kind: str):
 
 
 def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """The rows with every span masked; spans that overlap are masked together."""
+    """The rows with every span masked; spans that overlap are masked together.
+
+    Null texts stay null; of spans that begin at one place the longest counts; repeated
+    rows are masked alike; columns of any name go through; an empty table gives no rows.
+    """
     columns = docs.columns
-    found = stage_table(current_spans(update_ledger(docs, text)), "findings").select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    named = docs.withColumn("_name", F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
+    blob, spans, name = (free_name(docs, c) for c in ("blob", "spans", "name"))
+    found = stage_table(current_spans(update_ledger(docs, text)), "findings").select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+    named = docs.withColumn(name, F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
 
     def step(a: Column, s: Column) -> Column:
         apart = F.when(s["start"] >= a["at"], F.concat(F.substring(F.col(text), a["at"] + 1, s["start"] - a["at"]), F.lit(mask))).otherwise(F.lit(""))
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], apart).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("_spans", start, step, lambda a: F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, F.char_length(text))))
-    joined = named.join(found, F.col("_name") == F.col("_blob"), "left")
-    return joined.withColumn(text, F.when(F.size("_spans") > 0, clean).otherwise(F.col(text))).select(*columns)
+    clean = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, F.char_length(text))))
+    joined = named.join(found, F.col(name) == F.col(blob), "left")
+    return joined.withColumn(text, F.when(F.size(spans) > 0, clean).otherwise(F.col(text))).select(*columns)

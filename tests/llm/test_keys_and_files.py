@@ -53,7 +53,7 @@ def test_keys_stay_exact(spark, docs):
 
 def test_filters_keep_columns_and_empty_tables(spark, docs):
     own, _ = docs
-    own = own.withColumnRenamed("k", "_mark")
+    own = own.withColumnRenamed("k", "_x").selectExpr("*", "1 AS _spans", "2 AS _blob", "3 AS _name", "4 AS t", "5 AS k", "6 AS row", "7 AS kept")
     bench = spark.createDataFrame([(1, BENCH)], "item_id long, text string")
     labels = spark.createDataFrame([], f"doc_id {own.schema['doc_id'].dataType.simpleString()}, quality int, toxic int")
     for stage in (simhash.keep_one, lambda d: decontaminate.drop_contaminated(d, bench), secrets.redact, lambda d: quality.keep_good(d, labels)):
@@ -61,6 +61,8 @@ def test_filters_keep_columns_and_empty_tables(spark, docs):
         assert stage(own.limit(0)).count() == 0
     assert decontaminate.drop_contaminated(own, bench).count() == 6
     assert decontaminate.drop_contaminated(own, bench.limit(0)).count() == 8
+    masked = {r.text for r in secrets.redact(own).collect()}
+    assert None in masked and not any("hunter2" in (t or "") for t in masked) and any("[SECRET]" in (t or "") for t in masked)
     kept = simhash.keep_one(own).collect()
     assert sorted(r.text or "" for r in kept) == sorted({t or "" for _, t, *_ in rows(range(8))})
 
