@@ -95,13 +95,15 @@ def settle(lifted: DataFrame, again: Callable[[DataFrame], DataFrame], max_overl
 
 def upstream_apart(features: DataFrame) -> DataFrame:
     """(id, upstream): of the features that end before one starts, on its sequence, the
-    last in order of start; null where there is none."""
+    last in order of start; null where there is none.  The window is over a sequence's
+    features: those of genes, which are few beside their parts."""
     order = Window.partitionBy("seqid").orderBy("start_pos", "end_pos", "id")
     own = features.select("id", "seqid", "start_pos", "end_pos", F.row_number().over(order).alias("n"))
     ends = own.select("seqid", F.col("end_pos").alias("at"), F.lit(1).alias("side"), F.struct("n", "id").alias("seen"), F.lit(None).cast("string").alias("q"))
     starts = own.select("seqid", F.col("start_pos").alias("at"), F.lit(0).alias("side"), F.lit(None).cast("struct<n:int,id:string>").alias("seen"), F.col("id").alias("q"))
-    before = Window.partitionBy("seqid").orderBy("at", "side").rangeBetween(Window.unboundedPreceding, 0)
-    found = ends.unionByName(starts).withColumn("best", F.max("seen").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    # a start comes before the ends at its place: what ends there does not end before it
+    before = Window.partitionBy("seqid").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    found = ends.unionByName(starts).withColumn("best", F.max("seen").over(before))
     return found.filter("q IS NOT NULL").select(F.col("q").alias("id"), F.col("best.id").alias("upstream"))
 
 
