@@ -38,3 +38,19 @@ def test_strict_scan(spark):
     assert good.count() == 1 and {r.error_kind for r in bad.collect()} == {"InvalidCoordinate", "InvalidAttribute"}
     with pytest.raises(gff.BadRows, match="InvalidCoordinate at 1"):
         gff.scan(rows)
+
+
+def test_line_item_numbered_one_is_not_the_version_line(spark, tmp_path):
+    import duckdb
+
+    from braidline import hierarchy_queries as own, queries
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE lineitem AS SELECT CAST(x // 7 AS BIGINT) AS l_orderkey, CAST(x % 7 + 1 AS INT) AS l_linenumber, CAST(x AS BIGINT) AS l_partkey, CAST(x % 5 AS BIGINT) AS l_suppkey, CAST(1 AS DOUBLE) AS l_quantity FROM range(40) t(x)")
+    con.execute("CREATE TABLE supplier AS SELECT x AS s_suppkey FROM range(5) t(x)")
+    for t in ("lineitem", "supplier"):
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    out = own.op_line_findings(spark, str(tmp_path))
+    want = con.execute("SELECT rule, line FROM (" + queries.ORACLE_SQL["op_line_findings"] + ")").fetchall()
+    assert ("bad_column_count", 1) in want
+    assert sorted(tuple(r) for r in out.select("rule", "line").collect()) == sorted(want)
