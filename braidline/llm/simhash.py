@@ -6,7 +6,7 @@ Manhattan distance of two points is a lower bound of the bits that differ.  Ever
 fingerprint goes to its own point and to those one step away: two fingerprints
 meet at some point if and only if their points are at most two steps apart (a
 range join as an equality).  Pairs that meet are verified exactly, by the bits that
-differ, inside the join.
+differ, inside the join.  No side of a join goes through the driver.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, keyed, stage_table
+from .common import free_name, keyed, stage_table, unsent
 from .components import components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -77,7 +77,7 @@ def links(nodes: DataFrame, max_bits: int = 2) -> DataFrame:
     cells = nodes.select("fp", F.explode(near_points(point(F.col("fp")))).alias("cell"))
     a, b = (cells.select(F.col("fp").alias(name), F.col("cell").alias(f"c{name}")) for name in "ab")
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    met = a.join(b, (F.col("ca") == F.col("cb")) & (F.col("a") < F.col("b")) & (apart <= max_bits))
+    met = a.join(unsent(b), (F.col("ca") == F.col("cb")) & (F.col("a") < F.col("b")) & (apart <= max_bits))
     return met.select("a", "b").distinct()
 
 
@@ -85,9 +85,9 @@ def grouped(nodes: DataFrame) -> DataFrame:
     """(fp, component_id): the least ``id`` of the fingerprints that are linked, for nodes (fp, id)."""
     nodes = stage_table(nodes, "nodes")
     root = components(stage_table(links(nodes), "links"))
-    rooted = nodes.join(root.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
+    rooted = nodes.join(unsent(root.select(F.col("node").alias("fp"), "root")), "fp", "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
     linked = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    return rooted.join(linked, "root").select("fp", "component_id")
+    return rooted.join(unsent(linked), "root").select("fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -100,7 +100,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     has no other.  Other columns are left out; an empty table gives no rows.
     """
     own = stage_table(fingerprints(docs, key, text), "fingerprints")
-    out = own.join(grouped(own.groupBy("fp").agg(F.min("k").alias("id"))), "fp")
+    out = own.join(unsent(grouped(own.groupBy("fp").agg(F.min("k").alias("id")))), "fp")
     return out.select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
