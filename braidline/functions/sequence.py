@@ -63,7 +63,8 @@ def percent_encode(value: Column) -> Column:
 
 def percent_decode(value: Column) -> Column:
     """%XX to text; ``+`` stays, and what cannot be decoded stays as it is."""
-    return F.coalesce(F.try_url_decode(F.replace(value, F.lit("+"), F.lit("%2B"))), value)
+    decoded = F.coalesce(F.try_url_decode(F.replace(value, F.lit("+"), F.lit("%2B"))), value)
+    return F.when(F.contains(value, F.lit("%")), decoded).otherwise(value)
 
 
 def made_sequence(seed: Column, length: int) -> Column:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.sequence import percent_decode
+from ..operators.interval import numbered
 from ..store import FeatureStore
 from . import gff
 from .stage import stage
@@ -15,7 +20,7 @@ PAIRS = "array<struct<name:string,value:string>>"
 
 def segments(column: Column) -> Column:
     """Parts between semicolons that are not inside quotes, without blanks at the ends."""
-    parts = F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(r'((?:[^;"]|"[^"]*(?:"|$))+)'), F.lit(1))
+    parts = F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(r'((?:[^;"]++|"[^"]*+(?:"|$))++)'), F.lit(1))
     return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
@@ -34,9 +39,108 @@ def name_values(segment: Column) -> Column:
     return F.when(name == "", F.array().cast(PAIRS)).otherwise(pairs)
 
 
-def parsed(column: Column) -> Column:
-    """All (name, value) pairs of a ninth column, in file order."""
-    return F.flatten(F.transform(segments(column), name_values))
+#: What ``.`` does not match and ``$`` may stand before, to Spark.
+_ENDS = "\n\r\u0085\u2028\u2029"
+_SEGMENT = re.compile(r'(?:[^;"]++|"[^"]*+(?:"|$))++')
+_SPACED = re.compile(rf"[^ \t]+[ \t]+([^{_ENDS}]*)(?=(?:\r\n|[{_ENDS}])?\Z)")
+_QUOTED = re.compile(rf'"([^{_ENDS}]*)"(?=(?:\r\n|[{_ENDS}])?\Z)')
+_COMMA = re.compile(r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+_CODES = re.compile("(?:%[0-9A-Fa-f]{2})+")
+
+
+def _rows(*texts: str, **others: T.DataType) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in texts] + [T.StructField(n, t) for n, t in others.items()]))
+
+
+def _decoded(value: str) -> str:
+    if "%" not in value or "%" in _CODES.sub("", value):
+        return value
+    return _CODES.sub(lambda m: bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "replace"), value)
+
+
+def _segment(s: str, memo: dict[str, tuple[str, list[str]]]) -> tuple[str, list[str]]:
+    """``name_values`` of one segment: its name and values."""
+    name, eq, raw = s.partition("=")
+    if eq and '"' not in raw and "%" not in raw and "," not in raw:
+        return name.strip(" "), [raw.strip(" ")]
+    if (got := memo.get(s)) is not None:
+        return got
+    if eq:
+        name, raw = name.strip(" "), raw.strip(" ")
+    else:
+        name = re.match(r"[^ \t]*", s)[0]
+        raw = m[1].strip(" ") if (m := _SPACED.match(s)) else ""
+    if m := _QUOTED.match(raw):
+        raw = m[1] + raw[m.end():]
+    if not eq and (" " in s or "\t" in s):
+        values = [raw]
+    else:
+        values = [_decoded(v) for v in (_COMMA.split(raw) if '"' in raw else raw.split(","))]
+    if len(memo) < 100_000:
+        memo[s] = name, values
+    return name, values
+
+
+def read_pairs(text: str | None, memo: dict[str, tuple[str, list[str]]]) -> list[tuple[str, list[str]]]:
+    """(name, values) of each segment of a ninth column; ``memo`` keeps segments that come again."""
+    if not text:
+        return []
+    parts = _SEGMENT.findall(text) if '"' in text else text.split(";")
+    found = (_segment(s, memo) for x in parts if (s := x.strip(" ")))
+    return [f for f in found if f[0]]
+
+
+@F.arrow_udf(_rows("name", "value", idx=T.IntegerType()))
+def indexed(column: pa.Array) -> pa.Array:
+    """All (name, value, idx) of a ninth column in file order; idx counts a name's values."""
+    memo: dict = {}
+    ends, names, values, places = [0], [], [], []
+    for text in column.to_pylist():
+        seen: dict[str, int] = {}
+        for name, some in read_pairs(text, memo):
+            n = seen.get(name, 0)
+            for v in some:
+                names.append(name)
+                values.append(v)
+                places.append(n)
+                n += 1
+            seen[name] = n
+        ends.append(len(names))
+    rows = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.string()), pa.array(places, pa.int32())], ["name", "value", "idx"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+
+
+@F.arrow_udf(_rows("name", "value"))
+def parsed(column: pa.Array) -> pa.Array:
+    """All (name, value) pairs of a ninth column, in file order: ``name_values`` of its
+    ``segments``, which as functions of arrays take several times as long."""
+    memo: dict = {}
+    ends, names, values = [0], [], []
+    for text in column.to_pylist():
+        for name, some in read_pairs(text, memo):
+            names.extend([name] * len(some))
+            values.extend(some)
+        ends.append(len(names))
+    rows = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.string())], ["name", "value"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+
+
+@F.arrow_udf(T.MapType(T.StringType(), T.ArrayType(T.StringType())))
+def mapped(column: pa.Array) -> pa.Array:
+    """Names and their values (an array each) of a ninth column."""
+    memo: dict = {}
+    ends, names, cuts, values = [0], [], [0], []
+    for text in column.to_pylist():
+        row: dict[str, list[str]] = {}
+        for name, some in read_pairs(text, memo):
+            row[name] = row[name] + some if name in row else some
+        for name, some in row.items():
+            names.append(name)
+            values.extend(some)
+            cuts.append(len(values))
+        ends.append(len(names))
+    lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, pa.string()))
+    return pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(names, pa.string()), lists)
 
 
 def attribute_map(pairs: str) -> Column:
@@ -48,9 +152,7 @@ def attribute_map(pairs: str) -> Column:
 def attribute_table(rows: DataFrame, key: str, attributes: str = "attributes") -> DataFrame:
     """(key, name, value, idx): a row for each value; idx counts a name's values, also
     of names that are repeated."""
-    own = rows.select(key, parsed(F.col(attributes)).alias("p"))
-    counted = F.transform("p", lambda x, i: F.struct(x["name"].alias("name"), x["value"].alias("value"), F.size(F.filter(F.slice("p", F.lit(1), i), lambda y: y["name"] == x["name"])).alias("idx")))
-    return own.select(key, F.explode(counted).alias("a")).select(key, "a.*")
+    return rows.select(key, F.explode(indexed(F.col(attributes))).alias("a")).select(key, "a.*")
 
 
 def with_value(features: DataFrame, table: DataFrame, name: str, value: str) -> DataFrame:
@@ -107,15 +209,16 @@ def gtf_models(rows: DataFrame, subfeature: str = "exon", transcripts: bool = Tr
 
     ``rows`` has the columns of ``gff.parse_rows`` and ``attrs``.  Rows of transcripts
     and genes keep their own ids; others are numbered by kind.  Transcripts and genes
-    that have parts but no row are made from the extent of their parts.
+    that have parts but no row are made from the extent of their parts.  The rows' places
+    and two ids are staged, as the file would be parsed for each use of them.
     """
-    own = rows.withColumn("transcript_id", first_value("transcript_id")).withColumn("gene_id", first_value("gene_id"))
-    at = Window.partitionBy("featuretype").orderBy("file_order")
+    own = rows.select("seqid", "featuretype", "start_pos", "end_pos", "strand", "file_order", first_value("transcript_id").alias("transcript_id"), first_value("gene_id").alias("gene_id"))
+    own = stage(own, "gtf-rows")  # five times read, once parsed
     is_tx, is_gene = F.col("featuretype") == "transcript", F.col("featuretype") == "gene"
     named = F.when(is_tx, F.col("transcript_id")).when(is_gene, F.col("gene_id"))
-    numbered = F.concat("featuretype", F.lit("_"), F.row_number().over(at).cast("string"))
+    by_kind = F.concat("featuretype", F.lit("_"), F.col("number").cast("string"))
     up = F.when(is_gene, F.lit(None)).when(is_tx, F.col("gene_id")).otherwise(F.coalesce("transcript_id", "gene_id"))
-    base = own.select(F.coalesce(named, numbered).alias("id"), up.alias("parent"), "seqid", "featuretype", "start_pos", "end_pos", "strand")
+    base = numbered(own, ["featuretype"], "file_order").select(F.coalesce(named, by_kind).alias("id"), up.alias("parent"), "seqid", "featuretype", "start_pos", "end_pos", "strand")
     parts = own.filter(F.col("featuretype") == subfeature)
     out = base
     if transcripts:
@@ -139,8 +242,9 @@ def gff3_models(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     Repeated ids become ``id__2`` and so on in file order, and rows without an id are
     numbered by kind; edges name the first of repeated ids.
     """
-    named = F.coalesce(first_value("ID"), F.concat("featuretype", F.lit("_"), F.row_number().over(Window.partitionBy("featuretype", first_value("ID").isNull()).orderBy("file_order")).cast("string")))
-    own = rows.withColumn("base", named)
+    own = numbered(rows.withColumn("_bare", first_value("ID").isNull()), ["featuretype", "_bare"], "file_order")
+    named = F.coalesce(first_value("ID"), F.concat("featuretype", F.lit("_"), F.col("number").cast("string")))
+    own = own.withColumn("base", named)
     n = F.row_number().over(Window.partitionBy("base").orderBy("file_order"))
     own = own.withColumn("n", n).withColumn("id", F.when(F.col("n") > 1, F.concat("base", F.lit("__"), F.col("n").cast("string"))).otherwise(F.col("base")))
     pairs = own.select(F.explode(F.col("attrs")["Parent"]).alias("parent"), F.col("id").alias("child"))
@@ -157,7 +261,7 @@ def create_store(spark: SparkSession, path: str | DataFrame, infer_transcripts:
     lines = gff.read_lines(spark, path) if isinstance(path, str) else path
     rows = gff.parse_rows(lines).filter("error_kind IS NULL")
     fmt = dialect(rows).first()["fmt"]
-    rows = rows.withColumn("p", parsed(F.col("attributes"))).withColumn("attrs", attribute_map("p")).drop("p")
+    rows = rows.withColumn("attrs", mapped(F.col("attributes")))
     if fmt == "gtf":
         features = stage(gtf_models(rows, subfeature, infer_transcripts, infer_genes), "features")
         return FeatureStore(features, max_depth, stage(linked(features), "edges"))

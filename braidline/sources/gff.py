@@ -29,7 +29,8 @@ def parse_rows(lines: DataFrame) -> DataFrame:
     """The nine columns of every feature line, and ``error_kind`` (null for good rows)."""
     own = lines.filter(~F.col("value").startswith("#") & (F.trim("value") != ""))
     part = F.split(F.regexp_replace("value", "\r$", ""), "\t")
-    own = own.withColumn("p", part).select("file_order", "p", *(F.get("p", F.lit(i)).alias(c) for i, c in enumerate(FIELDS)))
+    # as a generated row, so that a filter on what is found does not split the line for each part
+    own = own.select("*", F.explode(F.array(part)).alias("p")).select("file_order", "p", *(F.get("p", F.lit(i)).alias(c) for i, c in enumerate(FIELDS)))
     start, end = (F.expr(f"try_cast({c} AS BIGINT)") for c in ("start_pos", "end_pos"))
     bad = (
         F.when(F.size("p") < 9, "TooFewFields").when(F.col("seqid") == "", "EmptySeqid").when(F.col("featuretype") == "", "EmptyFeaturetype")
