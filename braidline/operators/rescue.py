@@ -81,20 +81,17 @@ def locus_pairing(models: DataFrame, transcripts: DataFrame, genes: DataFrame) -
     it and touch no gene that it does not touch, the one of highest identity.
 
     ``models``: id, reference, identity and place; ``transcripts``: id, reference and place;
-    ``genes``: id and place.  Ties go to the least id.
-    """
-    def touched(df: DataFrame, name: str) -> DataFrame:
-        q = df.select(F.col("id").alias(name), F.col("seqid").alias("q_seqid"), F.col("start_pos").alias("q_start"), F.col("end_pos").alias("q_end"))
-        hit = iv.overlap_join(q, genes.select(F.col("id").alias("gene"), "seqid", "start_pos", "end_pos"))
-        return hit.groupBy(name).agg(F.collect_set("gene").alias(f"{name}_genes"))
+    ``genes``: id and place, none of which ends before it starts.  Ties go to the least id.
 
     m = models.select(F.col("id").alias("model"), "reference", "identity", F.col("seqid").alias("m_seqid"), F.col("start_pos").alias("m0"), F.col("end_pos").alias("m1"))
     t = transcripts.select(F.col("id").alias("transcript"), "reference", "seqid", "start_pos", "end_pos")
     met = t.join(m, "reference").filter("seqid = m_seqid AND m0 <= end_pos AND m1 >= start_pos")
-    met = met.join(touched(models, "model"), "model", "left").join(touched(transcripts, "transcript"), "transcript", "left")
-    none = F.array().cast("array<string>")
-    within = F.size(F.array_except(F.coalesce("model_genes", none), F.coalesce("transcript_genes", none))) == 0
-    best = met.filter(within).groupBy("transcript").agg(F.min(F.struct((-F.col("identity")).alias("i"), "model")).alias("b"))
+    outside = F.array(F.struct(F.lit(0).alias("side"), F.col("m0").alias("a"), (F.col("start_pos") - 1).alias("b")), F.struct(F.lit(1).alias("side"), (F.col("end_pos") + 1).alias("a"), F.col("m1").alias("b")))
+    pieces = met.select("transcript", "model", "seqid", F.explode(outside).alias("p")).filter("p.a <= p.b")
+    points = genes.select("seqid", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("end_pos").alias("at")), F.struct(F.lit(1).alias("side"), F.col("start_pos").alias("at")))).alias("p"))
+    held = iv.holds_a_point(pieces.select("transcript", "model", "seqid", "p.*"), points.select("seqid", "p.*"), ["seqid", "side"])
+    within = met.join(held.select("transcript", "model").distinct(), ["transcript", "model"], "left_anti")
+    best = within.groupBy("transcript").agg(F.min(F.struct((-F.col("identity")).alias("i"), "model")).alias("b"))
     return best.select("transcript", F.col("b.model").alias("model"))
 
 
