@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import percent_encode
 from ..store import FeatureStore
+from .stage import spread
 
 #: Directives that say something of the assembly they were written for.
 BOUND = ("##sequence-region", "##genome-build", "##species", "#!genome-build", "#!genome-version", "#!genome-date", "#!genebuild")
@@ -45,6 +46,16 @@ def output_order(features: DataFrame, tops: DataFrame) -> DataFrame:
     return out.withColumn("kind_rank", kind_rank())
 
 
+def block_order(features: DataFrame) -> DataFrame:
+    """``output_order`` of features that have their gene and transcript as columns, where the
+    rows of both are among them, once, and a transcript's rows are of one gene: these meet
+    by gene, so one shuffle is all."""
+    own = spread(features, "gene")
+    gene, tx = Window.partitionBy("gene"), Window.partitionBy("gene", "transcript")
+    is_gene, is_tx = F.col("id") == F.col("gene"), F.col("id") == F.col("transcript")
+    own = own.withColumn("gene_seqid", F.max(F.when(is_gene, F.col("seqid"))).over(gene)).withColumn("gene_start", F.max(F.when(is_gene, F.col("start_pos"))).over(gene))
+    return own.withColumn("tx_start", F.max(F.when(is_tx, F.col("start_pos"))).over(tx)).withColumn("kind_rank", kind_rank())
+
 
 def hierarchy_sort(ordered: DataFrame) -> list[Column]:
     return [F.col("gene_seqid"), F.col("gene_start"), F.col("gene"), F.asc_nulls_first("tx_start"), F.asc_nulls_first("transcript"), F.col("kind_rank"), F.col("start_pos"), F.col("end_pos"), F.col("id")]
