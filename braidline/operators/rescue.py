@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stage import spread
 from . import interval as iv
 
 
@@ -83,6 +84,10 @@ def locus_pairing(models: DataFrame, transcripts: DataFrame, genes: DataFrame) -
     ``models``: id, reference, identity and place; ``transcripts``: id, reference and place;
     ``genes``: id and place, none of which ends before it starts.  Ties go to the least id.
 
+    Of a model and a transcript that overlap, a gene touches the model alone if it ends in
+    what the model has before the transcript, or starts in what it has behind it: so it is
+    enough to look for one end or start there, and no pairs with genes are made.
+    """
     m = models.select(F.col("id").alias("model"), "reference", "identity", F.col("seqid").alias("m_seqid"), F.col("start_pos").alias("m0"), F.col("end_pos").alias("m1"))
     t = transcripts.select(F.col("id").alias("transcript"), "reference", "seqid", "start_pos", "end_pos")
     met = t.join(m, "reference").filter("seqid = m_seqid AND m0 <= end_pos AND m1 >= start_pos")
@@ -131,14 +136,17 @@ def allocated_ids(wanted: DataFrame, reserved: DataFrame) -> DataFrame:
     Numbers that are taken are left out of the sequence by rank, not by trial: the n-th
     owner gets the n-th free number.
     """
-    place = F.row_number().over(Window.partitionBy("base").orderBy("owner")) - 1
-    own = wanted.select("owner", "base", place.alias("n"))
     taken = reserved.select(F.regexp_extract("id", r"^cds-(.*?)(?:-(\d+))?$", 1).alias("base"), F.coalesce(F.expr(r"try_cast(regexp_extract(id, '^cds-(.*?)(?:-(\\d+))?$', 2) AS INT)"), F.lit(0)).alias("k")).distinct()
-    # the n-th free number is n plus how many taken ones lie before it: taken k shifts all n >= k - its rank
-    shift = taken.select("base", (F.col("k") - (F.row_number().over(Window.partitionBy("base").orderBy("k")) - 1)).alias("from"))
-    moved = own.join(shift, "base", "left").groupBy("owner", "base", "n").agg(F.sum(F.when(F.col("from") <= F.col("n"), 1).otherwise(0)).alias("s"))
+    # the n-th free number is n plus how many taken ones lie before it: taken k shifts all n >= k - its rank.
+    # Owners and taken numbers of a base meet in one place, dealt out once, and are counted there
+    owners = wanted.select("owner", "base", F.lit(1).alias("side"), F.lit(None).cast("int").alias("k"))
+    both = owners.unionByName(taken.select(F.lit(None).cast(wanted.schema["owner"].dataType).alias("owner"), "base", F.lit(0).alias("side"), "k"))
+    place = F.row_number().over(Window.partitionBy("base", "side").orderBy("k", "owner")) - 1
+    own = spread(both, "base").withColumn("n", F.when(F.col("side") == 1, place).otherwise(F.col("k") - place))
+    before = Window.partitionBy("base").orderBy("n", "side").rowsBetween(Window.unboundedPreceding, 0)
+    own = own.withColumn("s", F.sum(1 - F.col("side")).over(before)).filter("side = 1")
     number = F.col("n") + F.col("s")
-    return moved.select("owner", "base", F.concat(F.lit("cds-"), "base", F.when(number > 0, F.concat(F.lit("-"), number.cast("string"))).otherwise(F.lit(""))).alias("id"))
+    return own.select("owner", "base", F.concat(F.lit("cds-"), "base", F.when(number > 0, F.concat(F.lit("-"), number.cast("string"))).otherwise(F.lit(""))).alias("id"))
 
 
 def contaminated_ids(ids: DataFrame) -> DataFrame:
