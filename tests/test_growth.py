@@ -42,3 +42,13 @@ def test_tasks_follow_the_bytes_that_are_read(spark, monkeypatch):
     monkeypatch.setattr(stage, "TASK_BYTES", 1 << 12)
     assert stage.tasks(lines, lines) > stage.tasks(lines) > least
     assert stage.spread(lines, "l_orderkey").rdd.getNumPartitions() == stage.tasks(lines)
+
+
+def test_structure_joins_children_with_parents_once(spark):
+    from braidline.operators.validate import structure
+
+    rows = [("g", None, "c", "gene", 1, 90, "+"), ("t", "g", "c", "mRNA", 1, 99, "-"), ("x", "t", "d", "exon", 2, 3, "-"), ("h", None, "c", "gene", 1, 9, "+"), ("y", "h", "c", "exon", 1, 2, "+"), ("y", None, "c", "mRNA", 1, 2, "+")]
+    found = structure(spark.createDataFrame(rows, "id string, parent string, seqid string, featuretype string, start_pos long, end_pos long, strand string"))
+    # the second y is an mRNA, so h has one below it, as its id says
+    assert sorted(tuple(r) for r in found.collect()) == [("duplicate_id", "y"), ("outside_parent", "t"), ("sequence_differs", "x"), ("strand_differs", "t"), ("transcript_without_exon", "y")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("up_strand") < 8
